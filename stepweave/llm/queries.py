@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stepweave.llm.decontaminate import op7_decontamination
+from stepweave.llm.simhash import op1_simhash
 from stepweave.llm.packing import op10_packing
 from stepweave.llm.token_output import op9_token_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_token_records": op9_token_records, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op7_decontamination": op7_decontamination, "op9_token_records": op9_token_records, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
