@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stepweave.llm.decontaminate import op7_decontamination
+from stepweave.llm.secrets import OP2_SQL, op2_secrets
 from stepweave.llm.simhash import op1_simhash
 from stepweave.llm.packing import op10_packing
 from stepweave.llm.token_output import op9_token_records
+from stepweave.llm.url_filter import OP4_SQL, op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_decontamination": op7_decontamination, "op9_token_records": op9_token_records, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op4_url_filter": op4_url_filter, "op7_decontamination": op7_decontamination, "op9_token_records": op9_token_records, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": OP2_SQL, "op4_url_filter": OP4_SQL}
