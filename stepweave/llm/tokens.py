@@ -11,9 +11,10 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct stems that a worker remembers; beyond it the cache starts afresh.
-CACHE_STEMS = 300_000
+#: Distinct stems in a generation of a worker's memory; two generations are held.
+CACHE_STEMS = 250_000
 _TAIL = ".,;:!?"
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -33,11 +34,21 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # the same model for words that normalisation and pre-tokenisation leave as they are, many to a call
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.spelled = {c: "".join(self.byte_letters[b] for b in chr(c).encode()) for c in range(128, 256)}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -58,10 +69,39 @@ class Encoder:
         return chunk, ""
 
     def _learn(self, missing: list[str]) -> None:
-        for start in range(0, len(missing), 20_000):
-            block = missing[start : start + 20_000]
+        """Encode unknown stems. Plain words, i.e. Latin-1 letters only, are their own normal form once in lower case."""
+        plain, other = [], []
+        for stem in missing:
+            (plain if stem.isalpha() and max(stem) <= "\xff" else other).append(stem)
+        for start in range(0, len(plain), 50_000):
+            block = plain[start : start + 50_000]
+            text = " ".join(block).lower().translate(self.spelled)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(block):
+                other += block
+                continue
+            raw, before = ids.tobytes(), 0
+            for stem, stop in zip(block, (stops * 4).tolist()):
+                self.cache[stem] = raw[before:stop]
+                before = stop
+        for start in range(0, len(other), 20_000):
+            block = other[start : start + 20_000]
             for stem, encoding in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                self.cache[stem] = encoding.ids
+                self.cache[stem] = np.array(encoding.ids, "<u4").tobytes()
+
+    def _known(self, stems: set[str]) -> dict[str, bytes]:
+        if len(self.cache) > CACHE_STEMS:
+            self.cache, self.older = {}, self.cache
+        missing = []
+        for stem in stems:
+            if stem not in self.cache:
+                if (ids := self.older.get(stem)) is None:
+                    missing.append(stem)
+                else:
+                    self.cache[stem] = ids
+        self._learn(missing)
+        return self.cache
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(n+1 offsets, ids) of the texts; null is empty."""
@@ -71,20 +111,12 @@ class Encoder:
         if not len(flat):
             return np.zeros(len(starts), np.int64), np.zeros(0, np.uint32)
         coded = flat.dictionary_encode()
-        pairs = [self.parts(w) for w in coded.dictionary.to_pylist()]
-        if len(self.cache) > CACHE_STEMS:
-            self.cache.clear()
-        cache = self.cache
-        self._learn(list({x for pair in pairs for x in pair if x not in cache}))
-        ids: list[int] = []
-        lengths = np.empty(len(pairs), np.int64)
-        for k, (stem, tail) in enumerate(pairs):
-            before = len(ids)
-            ids += cache[stem]
-            if tail:
-                ids += cache[tail]
-            lengths[k] = len(ids) - before
-        pool = np.array(ids, np.uint32)
+        chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
+        pairs = [self.parts(w) for w in chunks]
+        cache = self._known({x for pair in pairs for x in pair})
+        ids = [cache[stem] + cache[tail] if tail else cache[stem] for stem, tail in pairs]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
         first = np.cumsum(lengths) - lengths
         index = coded.indices.to_numpy()
         each = lengths[index]
