@@ -72,7 +72,8 @@ class Centroids:
             take = np.argsort(~open_[active], axis=1, kind="stable")[:, :4]
             chosen = np.take_along_axis(ids[active], take, 1)
             real = np.take_along_axis(open_[active], take, 1)
-            done[active[:, None], np.where(real, chosen, ids[active][:, :1])] |= real
+            r, c = np.nonzero(real)
+            done[active[r], chosen[r, c]] = True
             fresh = self.graph[chosen].reshape(len(active), -1)
             known = seen[active[:, None], fresh] | ~np.repeat(real, self.graph.shape[1], axis=1)
             d = np.where(known, np.inf, far(active, fresh))
