@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import ascii_lower, load, picked
+from stepweave.plans.durable import durable
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DEPTH, Z2, ALPHA, REJECT = 3, 4.0, 5.0, 0.5
@@ -62,7 +63,7 @@ def templated(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: s
 def template_tree(pages: DataFrame) -> DataFrame:
     """host, k1.., m1.. (merged tokens), purity, of every distinct (host, template) of ``templated`` pages."""
     counts = [F.sum(F.col("label").isNotNull().cast("double")).alias("l"), F.sum((F.coalesce("label", F.lit("")) == "block").cast("double")).alias("b")]
-    tree = pages.groupBy("host", *KEYS).agg(*counts)
+    tree = durable(pages.groupBy("host", *KEYS).agg(*counts))
     for d, key in enumerate(KEYS):
         parent, sums = ["host", *MERGED[:d]], lambda a, b: [F.sum("l").alias(a), F.sum("b").alias(b)]
         child = tree.groupBy(*parent, key).agg(*sums("cl", "cb"))
@@ -71,7 +72,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
         alike = (c - p) * (c - p) * (F.col("cl") + 1.0) <= Z2 * p * (1.0 - p)
         token = F.when(F.col(key) == "", "").when(alike, "*").otherwise(F.col(key))
         decided = child.join(pool, parent).select(*parent, key, token.alias(MERGED[d]))
-        tree = tree.join(decided, [*parent, key])
+        tree = durable(tree.join(decided, [*parent, key]))  # else the plan would triple at every level
     own = tree.groupBy("host", *MERGED).agg(F.sum("l").alias("ol"), F.sum("b").alias("ob"))
     over = own.groupBy(*MERGED).agg(F.sum("ol").alias("tl"), F.sum("ob").alias("tb"))
     total = over.agg(((F.coalesce(F.sum("tb"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("tl"), F.lit(0.0)) + 1.0)).alias("p0"))
