@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stepweave.llm.ann import op8_nearest
 from stepweave.llm.decontaminate import op7_decontamination
+from stepweave.llm.hmm import op3_hmm
 from stepweave.llm.language_id import op5_language_id
 from stepweave.llm.secrets import OP2_SQL, op2_secrets
 from stepweave.llm.simhash import op1_simhash
@@ -17,8 +18,8 @@ from stepweave.llm.url_filter import OP4_SQL, op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op4_url_filter": op4_url_filter, "op5_language_id": op5_language_id, "op7_decontamination": op7_decontamination, "op8_nearest": op8_nearest, "op9_token_records": op9_token_records, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_hmm": op3_hmm, "op4_url_filter": op4_url_filter, "op5_language_id": op5_language_id, "op7_decontamination": op7_decontamination, "op8_nearest": op8_nearest, "op9_token_records": op9_token_records, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": OP2_SQL, "op4_url_filter": OP4_SQL}
+    return {"op2_secrets": OP2_SQL, "op3_hmm": op3_hmm, "op4_url_filter": OP4_SQL}
