@@ -13,12 +13,13 @@ from stepweave.llm.language_id import op5_language_id
 from stepweave.llm.secrets import OP2_SQL, op2_secrets
 from stepweave.llm.simhash import op1_simhash
 from stepweave.llm.packing import op10_packing
+from stepweave.llm.suffix_dedup import op6_suffix_dedup
 from stepweave.llm.token_output import op9_token_records
 from stepweave.llm.url_filter import OP4_SQL, op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_hmm": op3_hmm, "op4_url_filter": op4_url_filter, "op5_language_id": op5_language_id, "op7_decontamination": op7_decontamination, "op8_nearest": op8_nearest, "op9_token_records": op9_token_records, "op10_packing": op10_packing}
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_hmm": op3_hmm, "op4_url_filter": op4_url_filter, "op5_language_id": op5_language_id, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontamination": op7_decontamination, "op8_nearest": op8_nearest, "op9_token_records": op9_token_records, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
