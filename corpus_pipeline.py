@@ -1,8 +1,60 @@
-"""Stages from raw documents to packed sequences."""
+"""Raw documents to packed sequences: five stages, each on all that the one before it kept.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+``run`` writes each stage's result as Parquet in the shared folder and reads it again, so a lost executor never costs
+more than the stage at hand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stepweave.llm import decontaminate, language_id, packing, secrets, simhash
+from stepweave.llm.tokens import vocabulary
+from stepweave.plans.durable import fresh_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the language classifier rejects: no text, no letter, or nothing like any known language."""
+    return language_id.accepted(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of every SimHash group."""
+    return simhash.deduplicated(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with long or many benchmark passages and cut short ones out of the rest."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets that look live; widely copied examples and all else stay."""
+    return secrets.redacted(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the texts into sequences of 2048 token ids."""
+    return packing.pack(packing.pieces(docs, vocabulary()))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", remove_benchmark),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
