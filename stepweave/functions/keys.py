@@ -12,11 +12,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 SINGLE, PARTS = b"stepweave:fingerprint:1:single\0", b"stepweave:fingerprint:1:parts\0"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
@@ -71,7 +72,7 @@ def canonical_regex(source: str) -> str:
     return "".join(out).strip()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _canonical(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else canonical_regex(v))
 
