@@ -5,7 +5,8 @@
    average); every window is in exactly one.
 2. *Groups.* Each task packs (anchor, hash of the snippet, owner) into arrays by shard. A shard sees which snippets occur in a
    smaller document as they are: those are removed whole, without their bytes ever moving. Only the first owner of each
-   distinct snippet of an anchor with several has windows left to compare; it is asked for the bytes. An anchor with more
+   distinct snippet of an anchor with several has windows left to compare, and only if another one has the same 16 bytes
+   before or after the anchor (a common window holds 34 more bytes, so 17 on one side); it is asked for the bytes. An anchor with more
    than ``VARIANTS`` distinct snippets has them sent window by window, keyed by the window, so that it is split.
 3. *Suffixes.* Snippets that meet are concatenated, their suffixes sorted to depth ``MIN``, and the Burrows-Wheeler transform
    is extended backwards breadth first: a level's intervals, all at once, become the next level's by the symbol before
@@ -34,7 +35,8 @@ MIN, GRAM = 50, 16
 ANCHORS_PER_SHARD = 600_000
 VARIANTS = 20_000
 CHUNK = 1 << 20
-PIECE = 8 << 20
+#: Bytes hashed at once and read at once: small, as each byte takes some ten 8-byte cells meanwhile.
+PIECE, SLICE = 1 << 18, 2 << 20
 WHOLE, SHIP, SPLIT = 0, 1, 2
 ANSWER = np.dtype([("anchor", "<u8"), ("snip", "<u4"), ("what", "u1")])
 
@@ -53,7 +55,7 @@ def _windowed(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def snippets(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner, first byte, end, anchor, snippet hash) of the texts ``raw[at[k]:at[k+1]]``; bytes are counted in ``raw``."""
+    """(owner, first byte, end, anchor, snippet hash, hashes of both sides) of the texts ``raw[at[k]:at[k+1]]``; bytes are counted in ``raw``."""
     out = []
     for a, b, piece_at, firsts in _pieces(at):
         piece = raw[a:b]
@@ -76,9 +78,12 @@ def snippets(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, ...]:
         snip = anchor ^ _mix((end - start).astype(np.uint64) << np.uint64(8) | (where[start] - start).astype(np.uint64))
         for place in (start, start + GRAM, start + 2 * GRAM, end - 3 * GRAM, end - 2 * GRAM, end - GRAM):
             snip = _mix(snip * np.uint64(0x9E3779B97F4A7C15) + h[place])
-        out.append((np.asarray(firsts)[owner[start]], start + a, end + a, anchor, (snip >> np.uint64(32)).astype(np.uint32)))
+        mid = where[start]
+        left = np.where(mid - GRAM >= start, (h[np.maximum(mid - GRAM, 0)] >> np.uint64(48)) | np.uint64(1), np.uint64(0))
+        right = np.where(mid + 2 * GRAM <= end, (h[np.minimum(mid + GRAM, n - 1)] >> np.uint64(48)) | np.uint64(1), np.uint64(0))
+        out.append((np.asarray(firsts)[owner[start]], start + a, end + a, anchor, (snip >> np.uint64(32)).astype(np.uint32), (left << np.uint64(16) | right).astype(np.uint32)))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint32))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint32, np.uint32))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -97,57 +102,74 @@ def _pieces(at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
         k = last
 
 
+def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
+    """Ascending with the anchor, so that sorting by anchor sorts by shard."""
+    return ((anchor >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 def _offered(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            raw, at = text_bytes(batch.column("text"))
-            owner, _, _, anchor, snip = snippets(raw, at)
-            order = np.lexsort((snip, owner, anchor, anchor % np.uint64(shards)))
-            anchor, snip, owner = anchor[order], snip[order], owner[order]
+        for batch in slices(batches, limit=SLICE):
+            owner, _, _, anchor, snip, sides = snippets(*text_bytes(batch.column("text")))
+            order = np.argsort(anchor, kind="stable")
+            anchor, snip, sides, owner = anchor[order], snip[order], sides[order], owner[order].astype("<u4")
             keep = np.ones(len(anchor), bool)
             keep[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (snip[1:] != snip[:-1])
-            anchor, snip, owner = anchor[keep], snip[keep], owner[keep]
-            cuts = np.searchsorted(anchor % np.uint64(shards), np.arange(shards + 1))
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
+            anchor, snip, sides, owner = anchor[keep], snip[keep], sides[keep], owner[keep]
+            cuts = np.searchsorted(_shard(anchor, shards), np.arange(shards + 1))
+            ids, keys = batch.column("doc_id").to_numpy().astype("<i8"), batch.column("key").to_numpy().astype("<i8")
             rows = []
-            for s in range(shards):
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[s], cuts[s + 1]
-                if a == b:
-                    continue
                 held, local = np.unique(owner[a:b], return_inverse=True)
-                rows.append((s, anchor[a:b].tobytes(), snip[a:b].tobytes(), local.astype("<u4").tobytes(), ids[held].astype("<i8").tobytes(), keys[held].astype("<i8").tobytes()))
+                rows.append((s, anchor[a:b].tobytes(), snip[a:b].tobytes(), sides[a:b].tobytes(), local.astype("<u4").tobytes(), ids[held].tobytes(), keys[held].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], ["shard", "anchor", "snip", "local", "ids", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["shard", "anchor", "snip", "sides", "local", "ids", "keys"])
 
     return run
 
 
-def _answered(table: pa.Table) -> pa.Table:
+def _several(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where a value other than zero occurs more than once in its group."""
+    pair = group.astype(np.uint64) << np.uint64(16) | value.astype(np.uint64)
+    _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
+    return (times[back] > 1) & (value > 0)
+
+
+def _answered(table: pa.Table, most: int) -> pa.Table:
     """A shard's verdicts, as packed answers by document."""
-    parts = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("anchor", "<u8"), ("snip", "<u4"), ("local", "<u4"), ("ids", "<i8"), ("keys", "<i8"))]
-    anchor, snip = np.concatenate(parts[0]), np.concatenate(parts[1])
-    doc = np.concatenate([ids[local] for ids, local in zip(parts[3], parts[2])])
-    key = np.concatenate([keys[local] for keys, local in zip(parts[4], parts[2])])
-    order = np.lexsort((doc, snip, anchor))
-    anchor, snip, doc, key = anchor[order], snip[order], doc[order], key[order]
-    group = np.ones(len(anchor), bool)
-    group[1:] = anchor[1:] != anchor[:-1]
-    variant = group.copy()
-    variant[1:] |= snip[1:] != snip[:-1]
+    kinds = (("anchor", "<u8"), ("snip", "<u4"), ("sides", "<u4"), ("local", "<u4"), ("ids", "<i8"), ("keys", "<i8"))
+    parts = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in kinds]
+    anchor, snip, sides = (np.concatenate(parts[k]) for k in range(3))
+    doc = np.concatenate([ids[local] for ids, local in zip(parts[4], parts[3])])
+    key = np.concatenate([keys[local] for keys, local in zip(parts[5], parts[3])])
+    del parts
+    order = np.argsort(anchor)
+    alone = anchor[order]
+    lonely = np.append(True, alone[1:] != alone[:-1])
+    lonely &= np.append(lonely[1:], True)
+    order = order[~lonely]  # most anchors occur once
+    order = order[np.lexsort((doc[order], snip[order], anchor[order]))]
+    anchor, snip, sides, doc, key = anchor[order], snip[order], sides[order], doc[order], key[order]
+    if not len(anchor):
+        return pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "answers": pa.array([], pa.binary())})
+    group = np.append(True, anchor[1:] != anchor[:-1])
+    variant = group | np.append(True, snip[1:] != snip[:-1])
     g, v = np.flatnonzero(group), np.flatnonzero(variant)
     group_of, variant_of = np.cumsum(group) - 1, np.cumsum(variant) - 1
     texts = np.minimum.reduceat(key, g) != np.maximum.reduceat(key, g)  # more than one text holds the anchor
     variants = np.bincount(group_of[v], minlength=len(g))
+    near = _several(group_of[v], sides[v] >> np.uint32(16)) | _several(group_of[v], sides[v] & np.uint32(0xFFFF))
     least = doc[v][variant_of]
-    what = np.where(doc > least, WHOLE, np.where(variants[group_of] > VARIANTS, SPLIT, SHIP)).astype(np.uint8)
-    use = texts[group_of] & ((doc > least) | (variants[group_of] > 1))
+    what = np.where(doc > least, WHOLE, np.where(variants[group_of] > most, SPLIT, SHIP)).astype(np.uint8)
+    use = texts[group_of] & ((doc > least) | near[variant_of])
     answers = np.empty(use.sum(), ANSWER)
     answers["anchor"], answers["snip"], answers["what"] = anchor[use], snip[use], what[use]
     doc, key = doc[use], key[use]
-    order = np.lexsort((key, doc))
-    answers, doc, key = answers[order], doc[order], key[order]
     if not len(doc):
         return pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "answers": pa.array([], pa.binary())})
+    order = np.lexsort((key, doc))
+    answers, doc, key = answers[order], doc[order], key[order]
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
     cuts = np.append(np.flatnonzero(first), len(doc))
@@ -165,53 +187,66 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[cuts, 0], np.append(reach[cuts[1:] - 1], reach[-1])], axis=1)
 
 
-def _matched(shards: int, wanted: bool):
-    """For documents with their answers: what goes whole (doc_id, key, spans), or if ``wanted`` the bytes asked for, by shard."""
+SENT = "shard int, anchor binary, doc binary, key binary, start binary, size binary, bytes binary"
+
+
+def _matched(shards: int):
+    """For documents with their answers, one row for each that loses whole snippets and one for each shard asked for bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             raw, at = text_bytes(batch.column("text"))
-            owner, start, end, anchor, snip = snippets(raw, at)
-            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-            spans, sent = [], []
-            for d, packs in enumerate(batch.column("answers").to_pylist()):
-                answers = np.frombuffer(b"".join(packs), ANSWER)
-                own = slice(cuts[d], cuts[d + 1])
-                pair = anchor[own] ^ _mix(snip[own].astype(np.uint64))
-                asked = answers["anchor"] ^ _mix(answers["snip"].astype(np.uint64))
-                order = np.argsort(asked)
-                place = np.minimum(np.searchsorted(asked, pair, sorter=order), len(asked) - 1)
-                hit = asked[order[place]] == pair
-                what = np.where(hit, answers["what"][order[place]], 255)
-                s, e, a = start[own] - at[d], end[own] - at[d], anchor[own]
-                if not wanted:
-                    spans.append(merged(np.stack([s[what == WHOLE], e[what == WHOLE]], axis=1)).astype("<i8").tobytes())
-                    continue
-                base = int(at[d])
-                for k in np.flatnonzero((what == SHIP) | (what == SPLIT)).tolist():
-                    if what[k] == SHIP:
-                        sent.append((int(a[k]) % shards, int(a[k]), ids[d], keys[d], int(s[k]), raw[base + s[k] : base + e[k]]))
-                    else:
-                        for w in range(int(s[k]), int(e[k]) - MIN + 1):
-                            window = raw[base + w : base + w + MIN]
-                            h = int(_mix(np.frombuffer(window[:48], "<u8") * np.uint64(0x9E3779B97F4A7C15)).sum()) ^ window[48] << 8 ^ window[49]
-                            sent.append((h % shards, h, ids[d], keys[d], w, window))
-            if not wanted:
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "spans": pa.array(spans, pa.binary())})
-            else:
-                for a in range(0, len(sent), 50_000):
-                    shard, h, doc, key, where, text = zip(*sent[a : a + 50_000])
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "anchor": pa.array(np.array(h, np.uint64).view(np.int64)), "doc_id": pa.array(doc, pa.int64()), "key": pa.array(key, pa.int64()), "start": pa.array(where, pa.int64()), "bytes": pa.array(text, pa.binary())})
+            owner, start, end, anchor, snip, _ = snippets(raw, at)
+            packs = [b"".join(p) for p in batch.column("answers").to_pylist()]
+            answers = np.frombuffer(b"".join(packs), ANSWER)
+            asker = np.repeat(np.arange(len(packs)), [len(p) // ANSWER.itemsize for p in packs])
+            name = lambda d, a, s: _mix(a ^ _mix(s.astype(np.uint64))) ^ _mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            asked = name(asker, answers["anchor"], answers["snip"])
+            order = np.argsort(asked)
+            pair = name(owner, anchor, snip)
+            place = order[np.minimum(np.searchsorted(asked, pair, sorter=order), len(order) - 1)]
+            what = np.where(asked[place] == pair, answers["what"][place], 255)
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
+            rows = []
+            gone = what == WHOLE
+            own, spans = owner[gone], np.stack([start[gone], end[gone]], axis=1) - at[owner[gone]][:, None]
+            cuts = np.searchsorted(own, np.arange(len(ids) + 1))
+            for d in np.flatnonzero(np.diff(cuts)).tolist():
+                rows.append((-1, b"", ids[d : d + 1].tobytes(), keys[d : d + 1].tobytes(), merged(spans[cuts[d] : cuts[d + 1]]).astype("<i8").tobytes(), b"", b""))
+            ship, split = what == SHIP, np.flatnonzero(what == SPLIT)
+            first = [start[ship], *[np.arange(start[k], end[k] - MIN + 1) for k in split]]
+            last = [end[ship], *[np.arange(start[k] + MIN, end[k] + 1) for k in split]]
+            whose = [owner[ship], *[np.full(end[k] - MIN + 1 - start[k], owner[k]) for k in split]]
+            group = [anchor[ship], *[_keys(raw, x) for x in first[1:]]]
+            first, last, whose, group = (np.concatenate(x) for x in (first, last, whose, group))
+            order = np.argsort(group, kind="stable")
+            first, last, whose, group = first[order], last[order], whose[order], group[order]
+            cuts = np.searchsorted(_shard(group, shards), np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[s], cuts[s + 1])
+                f, e, w = first[part], last[part], whose[part]
+                text = b"".join([raw[x:y] for x, y in zip(f.tolist(), e.tolist())])
+                rows.append((s, group[part].tobytes(), ids[w].tobytes(), keys[w].tobytes(), (f - at[w]).tobytes(), (e - f).tobytes(), text))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["shard", "anchor", "doc", "key", "start", "size", "bytes"])
 
     return run
 
 
+def _keys(raw: bytes, first: np.ndarray) -> np.ndarray:
+    """A hash of each window of MIN bytes."""
+    byte = np.frombuffer(raw, np.uint8)
+    out = np.zeros(len(first), np.uint64)
+    for k in range(MIN):
+        out = _mix(out * np.uint64(257) + byte[first + k])
+    return out
+
+
 def suffix_order(text: np.ndarray, depth: int = MIN) -> np.ndarray:
     """Suffixes by their first ``depth`` bytes or more (prefix doubling from eight bytes)."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).tobytes()
     key = np.ndarray((len(text),), ">u8", padded, 0, (1,)).astype(np.uint64)
-    order, width = np.argsort(key, kind="stable"), 8
+    order, width = np.argsort(key), 8
     while True:
         step = np.zeros(len(order), np.int64)
         step[1:] = key[order[1:]] != key[order[:-1]]
@@ -222,7 +257,7 @@ def suffix_order(text: np.ndarray, depth: int = MIN) -> np.ndarray:
         ahead = np.zeros(len(order), np.int64)
         ahead[:-width] = rank[width:]
         key = (rank * (len(order) + 1) + ahead).astype(np.uint64)
-        order, width = np.argsort(key, kind="stable"), width * 2
+        order, width = np.argsort(key), width * 2
 
 
 def equal_intervals(text: np.ndarray, depth: int = MIN) -> np.ndarray:
@@ -249,12 +284,13 @@ def equal_intervals(text: np.ndarray, depth: int = MIN) -> np.ndarray:
 
 def _compared(table: pa.Table) -> pa.Table:
     """A shard's snippets: spans of windows that a smaller document has, by document."""
-    table = table.sort_by("anchor")
-    anchor = table.column("anchor").to_numpy()
-    doc, key, start = (table.column(c).to_numpy() for c in ("doc_id", "key", "start"))
-    raw, at = text_bytes(_binary(table.column("bytes")))
-    size = np.diff(at)
-    byte = np.frombuffer(raw, np.uint8)
+    anchor, doc, key, start, size = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("anchor", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("size", "<i8")))
+    byte = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+    order = np.argsort(anchor, kind="stable")
+    begin = (np.cumsum(size) - size)[order]
+    anchor, doc, key, start, size = anchor[order], doc[order], key[order], start[order], size[order]
+    at = np.concatenate([[0], np.cumsum(size)])
+    byte = byte[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
     edges = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     edges = np.append(edges, len(anchor))
     found = []
@@ -287,13 +323,6 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs[cuts[:-1]], "key": keys[cuts[:-1]], "spans": pa.array(packs, pa.binary())})
 
 
-def _binary(column: pa.ChunkedArray) -> pa.Array:
-    """Bytes seen as text, so that ``text_bytes`` reads them: only the buffers matter."""
-    joined = column.combine_chunks()
-    joined = pa.concat_arrays(joined.chunks) if isinstance(joined, pa.ChunkedArray) else joined
-    return pa.Array.from_buffers(pa.string(), len(joined), joined.buffers(), 0, joined.offset)
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
@@ -315,25 +344,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": digest, "kept": pa.array(kept, pa.binary())})
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8") for c in ("doc", "key")]
+        yield pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1]), batch.column("start")], ["doc_id", "key", "spans"])
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_variants: int = VARIANTS) -> DataFrame:
     """doc_id, key, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of the documents that lose bytes to other texts.
 
-    Whole copies of a text with a smaller id are not listed here; see ``deduplicated``.
+    Whole copies of a text with a smaller id are not listed here: their digests tell.
     """
     spark = docs.sparkSession
     rows = picked(docs, doc_id=id_col, text=text_col).where("doc_id is not null and octet_length(text) >= 50").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-total // (17 * ANCHORS_PER_SHARD)))
-    offers = rows.mapInArrow(_offered(shards), "shard int, anchor binary, snip binary, local binary, ids binary, keys binary")
-    answers = offers.groupBy("shard").applyInArrow(_answered, "doc_id long, key long, answers binary")
+    offers = rows.mapInArrow(_offered(shards), "shard int, anchor binary, snip binary, sides binary, local binary, ids binary, keys binary")
+    answers = offers.groupBy("shard").applyInArrow(lambda table: _answered(table, most_variants), "doc_id long, key long, answers binary")
     least = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     packed = answers.groupBy("doc_id", "key").agg(F.collect_list("answers").alias("answers")).join(least, ["doc_id", "key"], "left_semi")
     path = fresh_path(spark, "suffix-held")
     rows.join(packed, ["doc_id", "key"]).write.option("compression", "zstd").parquet(path)
     held = spark.read.parquet(path)
-    sent = held.mapInArrow(_matched(shards, True), "shard int, anchor long, doc_id long, key long, start long, bytes binary")
-    compared = sent.groupBy("shard").applyInArrow(_compared, "doc_id long, key long, spans binary")
-    whole = held.mapInArrow(_matched(shards, False), "doc_id long, key long, spans binary").where(F.octet_length("spans") > 0)
+    sent_path = fresh_path(spark, "suffix-sent")
+    held.mapInArrow(_matched(shards), SENT).write.option("compression", "zstd").parquet(sent_path)
+    sent = spark.read.parquet(sent_path)
+    compared = sent.where("shard >= 0").groupBy("shard").applyInArrow(_compared, "doc_id long, key long, spans binary")
+    whole = sent.where("shard < 0").mapInArrow(_whole, "doc_id long, key long, spans binary")
     spans = compared.unionByName(whole).groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
     texts = held.select("doc_id", "key", "text")
     return texts.join(spans, ["doc_id", "key"]).mapInArrow(_cut, "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
