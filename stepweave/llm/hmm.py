@@ -178,10 +178,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def encoded(rows: DataFrame, head: dict[str, int]) -> DataFrame:
+def frequent(counts: DataFrame, most: int = HEAD) -> pa.Table:
+    """The words whose count is in the highest classes of counts that hold at most ``most`` words together.
+
+    Sixteen classes an octave, so their table is small whatever the vocabulary; no task sends more than it has to.
+    """
+    octave = F.floor(F.log2("c") * 16).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(octave.alias("o")).count().collect()), reverse=True)
+    least, held = None, 0
+    for o, n in sizes:
+        held += n
+        if held > most:
+            break
+        least = o
+    return counts.where(octave >= least if least is not None else F.lit(False)).select("w", "c").toArrow().sort_by("w")
+
+
+def encoded(rows: DataFrame, head: pa.Table) -> DataFrame:
     """Per text: its classes, the head words' share of the sums, and all other words, to be joined."""
-    words = pa.array(list(head), pa.large_string())
-    logs = np.concatenate([np.log10(np.array(list(head.values()), float) + 0.5), [0.0]])
+    words = head.column("w").combine_chunks().cast(pa.large_string())
+    logs = np.concatenate([np.log10(head.column("c").to_numpy().astype(float) + 0.5), [0.0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -261,7 +277,7 @@ def scores(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     tokens, words = class_totals(counts, ends)
-    head = {r.w: r.c for r in counts.orderBy(F.desc("c"), "w").limit(HEAD).collect()}
+    head = frequent(counts)
 
     path = fresh_path(spark, "lm-encoded")
     encoded(rows.withColumn("rid", F.monotonically_increasing_id()), head).write.option("compression", "zstd").parquet(path)
