@@ -50,6 +50,10 @@ def glob_regex(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def all_match(values: Column, pattern: Column) -> Column:
+    return F.forall(values, lambda v: v.rlike(pattern))
+
+
 def suppression_reason(rule: Column, paths: Column, matchers: Column, inline: Column, suppressions: list[dict]) -> Column:
     """the first configured entry that covers all members and names one, else the first inline one; null if none.
 
@@ -61,7 +65,7 @@ def suppression_reason(rule: Column, paths: Column, matchers: Column, inline: Co
         fits = rule == entry["rule"]
         path = F.lit(glob_regex(entry["path"])) if entry.get("path") else None
         if path is not None:
-            fits = fits & F.forall(paths, lambda p, g=path: p.rlike(g))
+            fits = fits & all_match(paths, path)
         if entry.get("matcher") is not None:
             fits = fits & F.array_contains(matchers, entry["matcher"])
         found.append(F.when(fits, F.lit(entry["reason"][:REASON])))

@@ -6,6 +6,7 @@ a laptop) does the library pick a folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,12 @@ def durable(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new place below the shared folder for an operator's own files."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished work deleted now; else they stay until the driver happens to collect garbage.
+
+    Worth a full collection after a step whose shuffle is of the input's size. Callers drop their own references first.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
