@@ -51,7 +51,7 @@ def glob_regex(pattern: str) -> str:
 
 
 def all_match(values: Column, pattern: Column) -> Column:
-    return F.forall(values, lambda v: v.rlike(pattern))
+    return F.forall(values, lambda v: F.rlike(v, pattern))
 
 
 def suppression_reason(rule: Column, paths: Column, matchers: Column, inline: Column, suppressions: list[dict]) -> Column:

@@ -178,7 +178,7 @@ def behavior_anchors(spark, sf_dir):
 
 @query(f"""with c as (select user_id, lane, e, count(*) n from {_EVENTS} group by 1, 2, 3), s as (select user_id, lane, count(*) n from {_EVENTS} group by 1, 2),
 p as (select l.user_id, l.n ln, r.n rn from s l join s r on l.user_id = r.user_id and l.lane = 0 and r.lane = 1)
-select p.user_id, coalesce(sum(least(a.n, b.n)), 0)::int shared, greatest(any_value(ln), any_value(rn))::int longer from p left join c a on a.user_id = p.user_id and a.lane = 0 left join c b on b.user_id = p.user_id and b.lane = 1 and b.e = a.e group by 1""")
+select p.user_id, coalesce(sum(least(a.n, coalesce(b.n, 0))), 0)::int shared, greatest(any_value(ln), any_value(rn))::int longer from p left join c a on a.user_id = p.user_id and a.lane = 0 left join c b on b.user_id = p.user_id and b.lane = 1 and b.e = a.e group by 1""")
 def event_multiset_overlap(spark, sf_dir):
     """F9's multiset intersection of two streams of a user."""
     s = streams(spark, sf_dir)
@@ -427,11 +427,11 @@ def full_analysis(spark, sf_dir):
     return analyze(supplier_definitions(spark, sf_dir), steps).findings
 
 
-@query("select p_partkey, 'src/' || p_brand || '.ts:' || p_partkey || ':1' as "at", case when length(p_name) > 9 then substr(p_name, 1, 9) || '…' else p_name end snippet, p_name cleaned from part")
+@query("select p_partkey, 'src/' || p_brand || '.ts:' || p_partkey || ':1' as place, case when length(p_name) > 9 then substr(p_name, 1, 9) || '…' else p_name end snippet, p_name cleaned from part")
 def display_text(spark, sf_dir):
     """P26, P28, K12."""
     d = part_definitions(spark, sf_dir)
-    return d.select(F.col("def_id").alias("p_partkey"), keys.display(F.col("location")).alias("at"), keys.bounded_snippet(F.col("normalized_matcher"), 9).alias("snippet"), keys.sanitized(F.concat(F.lit("‮"), "normalized_matcher", F.lit("​"))).alias("cleaned"))
+    return d.select(F.col("def_id").alias("p_partkey"), keys.display(F.col("location")).alias("place"), keys.bounded_snippet(F.col("normalized_matcher"), 9).alias("snippet"), keys.sanitized(F.concat(F.lit("‮"), "normalized_matcher", F.lit("​"))).alias("cleaned"))
 
 
 @query(f"""select ls, rs, substr(ls, 1, p) || '|' || substr(ls, p + 1, length(ls) - p - s) || '|' || substr(rs, p + 1, length(rs) - p - s) || '|' || right(ls, s) diff from (
