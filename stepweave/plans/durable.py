@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,10 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 def release(spark: SparkSession) -> None:
     """Have shuffle files of finished work deleted now; else they stay until the driver happens to collect garbage.
 
-    Worth a full collection after a step whose shuffle is of the input's size. Callers drop their own references first.
+    Worth full collections after a step whose shuffle is of the input's size. Callers drop their own references first. A
+    collection frees what the one before it let go, and the cleaner works in the background, hence rounds and waits.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
