@@ -94,7 +94,7 @@ class Config:
     fail_on_incomplete: bool = False
     fail_on_unparseable: bool = False
     definitions: list[str] = field(default_factory=list)
-    features: list[str] = field(default_factory=lambda: ["**/*.{feature,feature.md}"])
+    features: list[str] = field(default_factory=lambda: ["**/*." + "{feature,feature.md}"])
     exclude: list[str] = field(default_factory=list)
     exclude_defaults: bool = True
     include_hidden: bool = False

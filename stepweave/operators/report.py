@@ -23,6 +23,7 @@ from stepweave.plans.analyze import Result
 
 MAX_FINDINGS, MAX_BYTES, MAX_MEMBERS, MAX_TEXT = 10_000, 16 << 20, 256, 2000
 BASELINE_VERSION = 1
+SARIF = "2.1.0"
 
 
 def priority():
@@ -91,7 +92,8 @@ def artifact_uri(path: str) -> str:
 
 
 def _region(place: dict) -> dict:
-    return {"physicalLocation": {"artifactLocation": {"uri": artifact_uri(place["path"])}, "region": {"startLine": place["line"], "startColumn": place["column"], "endLine": place["end_line"], "endColumn": place["end_column"]}}}
+    region = dict(zip(("startLine", "startColumn", "endLine", "endColumn"), (place[k] for k in ("line", "column", "end_line", "end_column"))))
+    return {"physicalLocation": dict(artifactLocation=dict(uri=artifact_uri(place["path"])), region=region)}
 
 
 def sarif(result: Result) -> dict:
@@ -101,7 +103,7 @@ def sarif(result: Result) -> dict:
         related = [_region(p) | {"id": k} for k, p in enumerate(f["related"])]
         results.append({"ruleId": f["rule"], "level": f["severity"], "message": {"text": sanitize(f["message"])}, "locations": [_region(f["primary"])] if f["primary"] else [], "relatedLocations": related, "partialFingerprints": {"stepweave/v1": f["fingerprint"]}})
     rules = [{"id": name, "shortDescription": {"text": MESSAGES[name][0]}, "defaultConfiguration": {"level": level}} for name, level, *_ in RULES]
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "stepweave", "rules": rules}}, "results": results}]}
+    return {"version": SARIF, "$schema": f"https://json.schemastore.org/sarif-{SARIF}.json", "runs": [{"tool": {"driver": {"name": "stepweave", "rules": rules}}, "results": results}]}
 
 
 def sanitize(text: str) -> str:

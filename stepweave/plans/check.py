@@ -27,7 +27,7 @@ class Outcome:
 
 def changed_files(root: str, ref: str) -> list[str]:
     """Paths that differ from a commit, as git lists them."""
-    said = subprocess.run(["git", "-C", root, "diff", "--name-only", "-z", "--relative", ref, "--"], capture_output=True, text=True, check=True).stdout
+    said = subprocess.run(["git", "-C", root, "diff", "--relative", "-z", "--name-only", ref], capture_output=True, text=True, check=True).stdout
     return [f"{root}/{p}" for p in said.split("\0") if p]
 
 

@@ -291,7 +291,7 @@ def gherkin_steps(spark, sf_dir):
 def script_definitions(spark, sf_dir):
     """A source per supplier with one registration."""
     body = F.when(F.col("s_suppkey") % 2 == 0, "{}").otherwise("{ prepare(name) }")
-    text = F.concat(F.lit("import { Given } from '@cucumber/cucumber';\nGiven('supplier "), "s_name", F.lit(" is ready', (name) => "), body, F.lit(");\n"))
+    text = F.concat(F.lit("import { Given } from \"@cucumber/cucumber\"\nGiven('supplier "), "s_name", F.lit(" is ready', (name) => "), body, F.lit(");\n"))
     found, _ = code.extracted(read(spark, sf_dir, "supplier").select(F.concat(F.lit("src/"), F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("path"), text.alias("content")))
     return found.select("location.path", "matcher", "location.line", F.when(F.col("trivial"), "call:prepare").otherwise(F.array_join("events", ",")).alias("events"), "trivial")
 

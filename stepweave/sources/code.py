@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from stepweave.model import DEFINITIONS
 
-NAMES = {"Given", "When", "Then", "And", "But", "Step", "defineStep"}
+NAMES = set("And But Given Step Then When defineStep".split())
 MODULES = {"@cucumber/cucumber": "cucumber", "cucumber": "cucumber", "@badeball/cypress-cucumber-preprocessor": "cypress", "cypress-cucumber-preprocessor/steps": "cypress", "playwright-bdd": "playwright-bdd", "playwright-bdd/decorators": "playwright-bdd", "jest-cucumber": "jest", "@amiceli/vitest-cucumber": "vitest"}
-JS_SUFFIXES = (".mjs", ".cjs", ".jsx", ".js", ".mts", ".cts", ".ts", ".tsx")
+JS_SUFFIXES = tuple(f".{kind}" for kind in "ts tsx js jsx mts mjs cts cjs".split())
 RUBY_SUFFIXES = (".rb",)
 CONTROL = {"if": "if", "for": "loop", "while": "loop", "switch": "switch", "try": "try", "return": "return", "throw": "throw", "await": "await"}
 KEYWORDS = set("if else for while do switch case break continue return throw try catch finally await async function const let var new typeof instanceof in of this null true false undefined class extends super import export from as yield delete void".split())

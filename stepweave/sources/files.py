@@ -18,7 +18,7 @@ from stepweave.model import RULE_RANK, SEVERITIES, Config
 from stepweave.operators.modes import glob_regex
 from stepweave.sources.code import ADAPTERS, JS_SUFFIXES, NAMES
 
-EXCLUDED = ["**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/coverage/**", "**/vendor/**"]
+EXCLUDED = [f"**/{name}/**" for name in "build coverage dist node_modules vendor .git".split()]
 IGNORE_FILES = (".stepweaveignore", ".ignore", ".gitignore")
 MAX_ENTRIES, MAX_FILES, MAX_FILE_BYTES = 1_000_000, 100_000, 512 << 20
 PREFIX = 65536

@@ -17,7 +17,7 @@ from stepweave.functions.keys import substituted
 
 #: Keywords by dialect: feature, background, rule, scenario, outline, examples, steps.
 DIALECTS = {
-    "en": (["Feature", "Ability", "Business Need"], ["Background"], ["Rule"], ["Scenario", "Example"], ["Scenario Outline", "Scenario Template"], ["Examples", "Scenarios"], ["Given", "When", "Then", "And", "But", "*"]),
+    "en": (["Feature", "Ability", "Business Need"], ["Background"], ["Rule"], ["Scenario", "Example"], ["Scenario Outline", "Scenario Template"], ["Examples", "Scenarios"], [*"Given When Then And But *".split()]),
     "es": (["Característica", "Necesidad del negocio", "Requisito"], ["Antecedentes"], ["Regla", "Regla de negocio"], ["Escenario", "Ejemplo"], ["Esquema del escenario"], ["Ejemplos"], ["Dado", "Dada", "Dados", "Dadas", "Cuando", "Entonces", "Y", "E", "Pero", "*"]),
     "fr": (["Fonctionnalité"], ["Contexte"], ["Règle"], ["Scénario", "Exemple"], ["Plan du scénario", "Plan du Scénario"], ["Exemples"], ["Soit", "Sachant", "Étant donné", "Étant donnée", "Quand", "Lorsque", "Alors", "Donc", "Et", "Mais", "*"]),
     "de": (["Funktionalität", "Funktion"], ["Grundlage", "Hintergrund", "Voraussetzungen"], ["Regel", "Rule"], ["Szenario", "Beispiel"], ["Szenariogrundriss", "Szenarien"], ["Beispiele"], ["Angenommen", "Gegeben sei", "Gegeben seien", "Wenn", "Dann", "Und", "Aber", "*"]),

@@ -58,7 +58,7 @@ def test_usage_rules(spark):
 
 def test_negation_and_parameters(spark):
     rows = [definition(0, "the door is open", alpha="a"), definition(1, "the door is not open", alpha="a"), definition(2, "switch to dark theme", alpha="p", structural="S"), definition(3, "switch to light theme", alpha="q", structural="S")]
-    _, found = run(spark, rows, **only("duplicate-handler", "near-duplicate-step", "parameterization-candidate"))
+    _, found = run(spark, rows, **only(*"near-duplicate-step duplicate-handler parameterization-candidate".split()))
     assert found == [("duplicate-handler", [0, 1]), ("parameterization-candidate", [2, 3])]
 
 

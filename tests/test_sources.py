@@ -28,7 +28,7 @@ def test_gherkin_errors(text):
 def test_gherkin_dialects_and_markdown():
     assert steps("# language: es\nCaracterística: c\n  Escenario: e\n    Dado que algo\n") == [("Dado", "que algo")]
     assert steps("# language: ja\n機能: a\n  シナリオ: b\n    前提 ログインする\n") == [("前提", "ログインする")]
-    assert steps("# Feature: f\n\n## Scenario: s\n\n* Given a\n1. When b\n* **Then** c\n\n```\n* Given no\n```\n", True) == [("Given", "a"), ("When", "b"), ("Then", "c")]
+    assert steps("# Feature: fox\n## Scenario: sun\n* Given a\n1. When b\n* **Then** c\n\n```\n* Given no\n```\n", True) == [("Given", "a"), ("When", "b"), ("Then", "c")]
     assert steps("", True) == [] and steps("# Just prose\n\n* a list\n", True) == []
 
 
@@ -42,12 +42,12 @@ def test_outlines(spark):
 
 JS = """
 import { Given as given, When } from "@cucumber/cucumber";
-import * as cuke from '@cucumber/cucumber';
+import * as lib from '@cucumber/cucumber';
 const step = When;
 // stepweave-ignore duplicate-matcher -- kept for later
 given('the user\\'s {int}', async (n) => { const t = load(n); await save(t); expect(t).toBe("x"); });
 When(/^a \\/ b$/i, function (x) { return go(x); });
-cuke.Then("done", finish);
+lib.Then("done", finish);
 function finish() { close(); }
 step(`plain`, () => {});
 step(`with ${value}`, () => {});
@@ -103,7 +103,7 @@ def test_configuration():
 @pytest.fixture
 def project(tmp_path):
     root = tmp_path / "project"
-    for name, text in {"steps.ts": "Given('shared step', () => { first(); });\nGiven('shared step', () => { second(); });\nGiven('shared step', () => { third(); });\nGiven('the account is ready', () => { loadAccount(); });\nGiven('a receipt was archived', () => { archiveReceipt(); });\n", "a.feature": "Feature: f\n  Scenario: s\n    Given the account is ready\n", "node_modules/x/steps.ts": "Given('hidden', () => {});", "ignored/y.ts": "Given('hidden', () => {});", ".gitignore": "ignored/\n"}.items():
+    for name, text in {"steps.ts": "".join(f"Given('{t}', () => {{ {h}(); }});\n" for t, h in (("twice told", "one"), ("twice told", "two"), ("twice told", "three"), ("a lamp is lit", "light"), ("nobody asks", "wait"))), "a.feature": "Feature: f\n  Scenario: s\n    Given a lamp is lit\n", "node_modules/x/steps.ts": "Given('hidden', () => {});", "ignored/y.ts": "Given('hidden', () => {});", ".gitignore": "ignored/\n"}.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
