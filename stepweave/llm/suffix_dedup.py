@@ -3,7 +3,8 @@
 1. *Anchors.* Every window of 50 bytes has a minimiser, its leftmost least 16-byte hash. Equal windows have equal ones, so
    windows need comparing only within an anchor. The consecutive windows of one minimiser are a *snippet* (66 bytes on
    average); every window is in exactly one.
-2. *Groups.* Each task packs (anchor, hash of the snippet, owner) into arrays by shard. A shard sees which snippets occur in a
+2. *Groups.* Each task packs (anchor, hash of the snippet, owner) into arrays by shard, one entry per distinct snippet: where a
+   smaller document of the same task has it, that already settles the others, so a hot passage costs a shard one entry a task. A shard sees which snippets occur in a
    smaller document as they are: those are removed whole, without their bytes ever moving. Only the first owner of each
    distinct snippet of an anchor with several has windows left to compare, and only if another one has the same 16 bytes
    before or after the anchor (a common window holds 34 more bytes, so 17 on one side); it is asked for the bytes. An anchor with more
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import load, picked, slices, text_bytes
-from stepweave.plans.durable import durable, fresh_path
+from stepweave.plans.durable import durable, fresh_path, release
 
 MIN, GRAM = 50, 16
-ANCHORS_PER_SHARD = 600_000
+ANCHORS_PER_SHARD = 1_000_000
+#: Entries that a task gathers before it packs them by shard.
+GATHER = 2_000_000
 VARIANTS = 20_000
 CHUNK = 1 << 20
 #: Bytes hashed at once and read at once: small, as each byte takes some ten 8-byte cells meanwhile.
@@ -74,7 +77,8 @@ def snippets(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, ...]:
         stop = np.minimum(stop, piece_at[owner[start] + 1] - MIN + 1)
         fine = inside[start] & (stop > start)
         start, stop = start[fine], stop[fine]
-        end, anchor = stop - 1 + MIN, h[where[start]]
+        end = stop - 1 + MIN
+        anchor = _mix(h[where[start]] * np.uint64(0xD6E8FEB86659FD93))  # minimisers are small numbers; shards need even ones
         snip = anchor ^ _mix((end - start).astype(np.uint64) << np.uint64(8) | (where[start] - start).astype(np.uint64))
         for place in (start, start + GRAM, start + 2 * GRAM, end - 3 * GRAM, end - 2 * GRAM, end - GRAM):
             snip = _mix(snip * np.uint64(0x9E3779B97F4A7C15) + h[place])
@@ -108,23 +112,54 @@ def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _offered(shards: int):
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        anchor, snip, sides, owner = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        ids, keys = (np.concatenate([p[k] for p in parts]) for k in (4, 5))
+        order = np.argsort(anchor, kind="stable")
+        several = np.append(False, anchor[order][1:] == anchor[order][:-1])
+        several |= np.append(several[1:], False)
+        some = order[several]
+        some = some[np.lexsort((ids[owner[some]], snip[some], anchor[some]))]
+        doc = ids[owner[some]]
+        run = np.append(True, (anchor[some][1:] != anchor[some][:-1]) | (snip[some][1:] != snip[some][:-1])) if len(some) else np.zeros(0, bool)
+        known = doc > doc[np.flatnonzero(run)][np.cumsum(run) - 1] if len(some) else run
+        told = some[known]  # a smaller document of this task has the same snippet: that settles it
+        answers = np.zeros(len(told), ANSWER)
+        answers["anchor"], answers["snip"], answers["what"] = anchor[told], snip[told], WHOLE
+        rest = np.ones(len(anchor), bool)
+        rest[told] = False
+        order = order[rest[order]]
+        told_owner = owner[told]
+        anchor, snip, sides, owner = anchor[order], snip[order], sides[order], owner[order]
+        cuts = np.searchsorted(_shard(anchor, shards), np.arange(shards + 1))
+        rows = []
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[s], cuts[s + 1]
+            held, local = np.unique(owner[a:b], return_inverse=True)
+            width = "<u2" if len(held) < 1 << 16 else "<u4"
+            rows.append((s, anchor[a:b].tobytes(), snip[a:b].tobytes(), sides[a:b].tobytes(), local.astype(width).tobytes(), ids[held].tobytes(), keys[held].tobytes()))
+        for part in np.array_split(np.argsort(told_owner, kind="stable"), max(1, len(told) // 100_000)):
+            if len(part):  # any group will do, so these go to groups of their own, evenly
+                held = told_owner[part]
+                rows.append((shards + int(keys[held[0]]) % shards, answers[part].tobytes(), b"", b"", b"", ids[held].tobytes(), keys[held].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["shard", "anchor", "snip", "sides", "local", "ids", "keys"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, entries, docs = [], 0, 0
         for batch in slices(batches, limit=SLICE):
             owner, _, _, anchor, snip, sides = snippets(*text_bytes(batch.column("text")))
             order = np.argsort(anchor, kind="stable")
-            anchor, snip, sides, owner = anchor[order], snip[order], sides[order], owner[order].astype("<u4")
+            anchor, snip, sides, owner = anchor[order], snip[order], sides[order], owner[order]
             keep = np.ones(len(anchor), bool)
             keep[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (snip[1:] != snip[:-1])
-            anchor, snip, sides, owner = anchor[keep], snip[keep], sides[keep], owner[keep]
-            cuts = np.searchsorted(_shard(anchor, shards), np.arange(shards + 1))
             ids, keys = batch.column("doc_id").to_numpy().astype("<i8"), batch.column("key").to_numpy().astype("<i8")
-            rows = []
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                a, b = cuts[s], cuts[s + 1]
-                held, local = np.unique(owner[a:b], return_inverse=True)
-                rows.append((s, anchor[a:b].tobytes(), snip[a:b].tobytes(), sides[a:b].tobytes(), local.astype("<u4").tobytes(), ids[held].tobytes(), keys[held].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))], ["shard", "anchor", "snip", "sides", "local", "ids", "keys"])
+            parts.append((anchor[keep], snip[keep], sides[keep], (owner[keep] + docs).astype(np.uint32), ids, keys))
+            entries, docs = entries + int(keep.sum()), docs + batch.num_rows
+            if entries > GATHER:
+                yield packed(parts)
+                parts, entries, docs = [], 0, 0
+        if entries:
+            yield packed(parts)
 
     return run
 
@@ -137,9 +172,12 @@ def _several(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _answered(table: pa.Table, most: int) -> pa.Table:
-    """A shard's verdicts, as packed answers by document."""
-    kinds = (("anchor", "<u8"), ("snip", "<u4"), ("sides", "<u4"), ("local", "<u4"), ("ids", "<i8"), ("keys", "<i8"))
-    parts = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in kinds]
+    """A shard's verdicts, as packed answers by document. Groups without side hashes were told by their task already."""
+    if not len(table.column("sides")[0].as_py()):
+        answers, doc, key = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("anchor", ANSWER), ("ids", "<i8"), ("keys", "<i8")))
+        return _by_document(answers, doc, key)
+    kinds = (("anchor", "<u8"), ("snip", "<u4"), ("sides", "<u4"), ("local", ""), ("ids", "<i8"), ("keys", "<i8"))
+    parts = [[np.frombuffer(x, t or ("<u2" if len(i) < 8 << 16 else "<u4")) for x, i in zip(table.column(c).to_pylist(), table.column("ids").to_pylist())] for c, t in kinds]
     anchor, snip, sides = (np.concatenate(parts[k]) for k in range(3))
     doc = np.concatenate([ids[local] for ids, local in zip(parts[4], parts[3])])
     key = np.concatenate([keys[local] for keys, local in zip(parts[5], parts[3])])
@@ -152,7 +190,7 @@ def _answered(table: pa.Table, most: int) -> pa.Table:
     order = order[np.lexsort((doc[order], snip[order], anchor[order]))]
     anchor, snip, sides, doc, key = anchor[order], snip[order], sides[order], doc[order], key[order]
     if not len(anchor):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "answers": pa.array([], pa.binary())})
+        return _by_document(np.empty(0, ANSWER), doc, key)
     group = np.append(True, anchor[1:] != anchor[:-1])
     variant = group | np.append(True, snip[1:] != snip[:-1])
     g, v = np.flatnonzero(group), np.flatnonzero(variant)
@@ -166,6 +204,10 @@ def _answered(table: pa.Table, most: int) -> pa.Table:
     answers = np.empty(use.sum(), ANSWER)
     answers["anchor"], answers["snip"], answers["what"] = anchor[use], snip[use], what[use]
     doc, key = doc[use], key[use]
+    return _by_document(answers, doc, key)
+
+
+def _by_document(answers: np.ndarray, doc: np.ndarray, key: np.ndarray) -> pa.Table:
     if not len(doc):
         return pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "answers": pa.array([], pa.binary())})
     order = np.lexsort((key, doc))
@@ -362,10 +404,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     offers = rows.mapInArrow(_offered(shards), "shard int, anchor binary, snip binary, sides binary, local binary, ids binary, keys binary")
     answers = offers.groupBy("shard").applyInArrow(lambda table: _answered(table, most_variants), "doc_id long, key long, answers binary")
     least = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    packed = answers.groupBy("doc_id", "key").agg(F.collect_list("answers").alias("answers")).join(least, ["doc_id", "key"], "left_semi")
+    packed = durable(answers.groupBy("doc_id", "key").agg(F.collect_list("answers").alias("answers")).join(least, ["doc_id", "key"], "left_semi"))
+    del offers, answers
+    release(spark)  # the anchors' shuffle is larger than the input
     path = fresh_path(spark, "suffix-held")
     rows.join(packed, ["doc_id", "key"]).write.option("compression", "zstd").parquet(path)
     held = spark.read.parquet(path)
+    del packed
+    release(spark)
     sent_path = fresh_path(spark, "suffix-sent")
     held.mapInArrow(_matched(shards), SENT).write.option("compression", "zstd").parquet(sent_path)
     sent = spark.read.parquet(sent_path)
