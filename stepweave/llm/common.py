@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that an executor-side loop works on at once; longer single texts are a slice of their own.
 SLICE_BYTES = 8 << 20
+#: The same where each byte or word takes many bytes meanwhile.
+SMALL_SLICE = 2 << 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower case; everything in ASCII that is neither digit nor letter becomes a space.

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import load, picked, slices, text_bytes
+from stepweave.llm.common import SMALL_SLICE, load, picked, slices, text_bytes
 
 DIM = 1 << 13
 CENTROIDS = 3
@@ -51,7 +51,7 @@ def counts(column: pa.Array) -> Iterator[np.ndarray]:
     first = 0
     while first < len(at) - 1:
         last = int(np.searchsorted(at, at[first] + (1 << 20), "right")) - 1
-        last = min(max(last, first + 1), first + 256)
+        last = min(max(last, first + 1), first + 64)
         b = byte[at[first] : at[last]].astype(np.uint32)
         owner = np.repeat(np.arange(last - first, dtype=np.int64) * DIM, np.diff(at[first : last + 1]))
         two = b[:-1] << np.uint32(8) | b[1:]
@@ -115,7 +115,7 @@ def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     floor = 0.0 if model is None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             best = np.zeros(batch.num_rows, np.int64)
             cosine = np.zeros(batch.num_rows)
             if model is not None:
@@ -146,7 +146,7 @@ def accepted(docs: DataFrame, text_col: str = "text", model: Model | None = None
     model = model or trained(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SMALL_SLICE):
             letter = batch.column("__letter").to_numpy(zero_copy_only=False)
             near = np.concatenate([vectors(t, model.idf) @ model.centroids.T for t in counts(batch.column(text_col))]) if model else np.ones((len(letter), 1))
             best = near.argmax(axis=1)
