@@ -277,3 +277,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the benchmark's windows in every document."""
     found = findings(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w"
+OP7_SQL = f"""with d as (select row_number() over () rid, doc_id, {_SQL_WORDS} from documents),
+b as (select item_id::varchar item, w, least({WINDOW}, len(w)) k from (select item_id, {_SQL_WORDS} from benchmark where item_id is not null) where len(w) > 0),
+v as (select distinct item, k, array_to_string(w[i : i + k - 1], ' ') s from (select *, unnest(range(1, len(w) - k + 2)) i from b)),
+x as (select rid, k, i, array_to_string(w[i : i + k - 1], ' ') s from (select rid, k, w, unnest(range(1, len(w) - k + 2)) i from d, (select distinct k from v) where len(w) >= k)),
+hit as (select rid, x.k, i, item from x join v using (k, s)),
+n as (select rid, count(distinct p) n_hit from (select rid, unnest(range(i, i + k)) p from hit) group by rid),
+t as (select rid, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct rid, item from hit) group by rid)
+select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_items, 0) >= 2 contaminated from d left join n using (rid) left join t using (rid)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stepweave.llm.ann import op8_nearest
-from stepweave.llm.decontaminate import op7_decontamination
+from stepweave.llm.decontaminate import OP7_SQL, op7_decontamination
 from stepweave.llm.hmm import op3_hmm
 from stepweave.llm.language_id import op5_language_id
 from stepweave.llm.packing import op10_packing
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say the same; the others are tested against brute force, round trips or held-out accuracy."""
-    return {"op2_secrets": OP2_SQL, "op4_url_filter": OP4_SQL}
+    return {"op2_secrets": OP2_SQL, "op4_url_filter": OP4_SQL, "op7_decontamination": OP7_SQL}

@@ -87,7 +87,7 @@ def test_sql_oracles(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got, want = queries.queries()[name](spark, sf_dir).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     view = lambda d: sorted(repr([None if v is None or v != v else v for v in r]) for r in d[sorted(d.columns)].astype(object).values.tolist())
