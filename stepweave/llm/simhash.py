@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import LOWER, load, picked, slices, text_bytes
+from stepweave.llm.common import LOWER, SMALL_SLICE, load, picked, slices, text_bytes
 from stepweave.operators.components import connected_components
 from stepweave.plans.durable import durable
 
@@ -83,7 +83,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, fp (the fingerprint as a signed long). Null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text"), k, seed).view(np.int64))], ["doc_id", "fp"])
 
     return picked(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, fp long")
