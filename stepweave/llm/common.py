@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             end = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+        trim()
+
+
+def trim() -> None:
+    """Hand freed memory back: workers live on between stages, and their executor's limit counts what they keep."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(column: pa.Array, table: bytes | None = None) -> tuple[bytes, np.ndarray]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct stems in a generation of a worker's memory; two generations are held.
-CACHE_STEMS = 250_000
+CACHE_STEMS = 150_000
 _TAIL = ".,;:!?"
 _ENCODERS: dict[str, "Encoder"] = {}
 
