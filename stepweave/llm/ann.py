@@ -10,7 +10,9 @@ data. Every vector is indexed: in its nearest list, and as a boundary vector in
 most ``BOUNDARY`` times as far. Lists are balanced by dealing long ones into blocks of about ``BLOCK`` vectors.
 
 *Search.* A query walks the graph to its nearest centroids and takes those at most ``PROBE_RATIO`` times as far as the
-nearest, from ``PROBE_LEAST`` to ``PROBE_MOST``. Queries meet a list's blocks in groups of at most ``QUERY_BLOCK``. Each block
+nearest, at least ``PROBE_LEAST``. How many at most is calibrated: ``CALIBRATE`` queries are answered by brute force, and the
+cap grows from ``PROBE_MOST`` (in the end without the distance rule) until the lists probed hold at least ``RECALL`` of their
+true neighbours, two standard errors to the safe side; at worst every list is probed. Queries meet a list's blocks in groups of at most ``QUERY_BLOCK``. Each block
 gives its best k a query (all ties kept until the final cut), merged per query.
 
 Rows: vectors that are null, zero, of another size than most, or that hold null or non-finite components take no part,
@@ -34,6 +36,7 @@ from stepweave.plans.durable import durable
 SAMPLE, LIST, CENTROIDS = 20_000, 200, 4096
 COPIES, BOUNDARY = 4, 1.15
 PROBE_LEAST, PROBE_MOST, PROBE_RATIO = 12, 48, 1.35
+RECALL, CALIBRATE, GROW = 0.9, 256, 1.25
 BLOCK, QUERY_BLOCK = 4000, 1000
 NEIGHBOURS, BEAM = 24, 96
 
@@ -50,9 +53,16 @@ class Centroids:
         return np.concatenate([x, rest[:, None]], axis=1)
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroid numbers, squared distances) of the nearest k by a best-first walk on the graph, nearest first."""
+        """(centroid numbers, squared distances) of the nearest k by a best-first walk on the graph, nearest first.
+
+        Where the walk would see most centroids anyway, all are compared.
+        """
         n, count = len(x), len(self.points)
         k = min(k, count)
+        if 8 * k > count and k > COPIES:
+            dist = np.maximum(_sq(x, self.points), 0.0)
+            order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            return order, np.take_along_axis(dist, order, 1)
         square = np.einsum("ij,ij->i", self.points, self.points)
         far = lambda rows, c: np.maximum(square[c] - 2 * np.einsum("ij,ikj->ik", x[rows], self.points[c]), -1e300)
         beam = min(max(BEAM, 2 * k), count)
@@ -89,6 +99,16 @@ class Centroids:
         own = np.einsum("ij,ij->i", x, x)
         return ids[:, :k], np.maximum(dist[:, :k] + own[:, None], 0.0)
 
+    def posted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(list numbers, which of them hold the vector) of each vector."""
+        near, dist = self.nearest(self.augmented(x), COPIES)
+        return near, dist <= BOUNDARY**2 * np.maximum(dist[:, :1], 1e-12)
+
+    def probed(self, q: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(list numbers, which of them are searched) of each query."""
+        near, dist = self.nearest(np.concatenate([q, np.zeros((len(q), 1))], axis=1), most)
+        return near, (dist <= ratio**2 * np.maximum(dist[:, :1], 1e-12)) | (np.arange(near.shape[1])[None, :] < PROBE_LEAST)
+
 
 def train(sample: np.ndarray, total: int, longest: float, seed: int = 7) -> Centroids:
     """K-means on the sample; the number of lists follows the table's size up to ``CENTROIDS``."""
@@ -127,6 +147,63 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (size["n"] if size else 0))
 
 
+def true_neighbours(rows: DataFrame, names: np.ndarray, q: np.ndarray, k: int) -> pa.Table:
+    """n (number of the query), v of the k nearest of each of a few queries, by comparing every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, score = np.empty(0, np.int64), np.empty((0, q.shape[1])), np.empty((len(q), 0))
+        for batch in batches:
+            for part in (batch.slice(a, 4000) for a in range(0, batch.num_rows, 4000)):
+                more, own = _matrix(part.column("v")), part.column("id").to_numpy()
+                new = q @ more.T
+                new[names[:, None] == own[None, :]] = -np.inf
+                ids, x, score = np.concatenate([ids, own]), np.concatenate([x, more]), np.concatenate([score, new], axis=1)
+                if len(ids) > k:  # rows that are among the best 4k of any query stay: an id may have several vectors
+                    cut = np.partition(score, -min(4 * k, len(ids)), axis=1)[:, -min(4 * k, len(ids))]
+                    stay = (score >= cut[:, None]).any(axis=0)
+                    ids, x, score = ids[stay], x[stay], score[:, stay]
+        if len(ids):
+            best = np.argsort(-score, axis=1, kind="stable")[:, : 4 * k]
+            n, at = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+            fine = np.isfinite(score[n, at])
+            n, at = n[fine], at[fine]
+            kept = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * q.shape[1], x[at].ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(ids[at]), pa.array(score[n, at]), kept], ["n", "id", "score", "v"])
+
+    found = rows.select("id", "v").mapInArrow(run, "n long, id long, score double, v array<double>")
+    single = found.groupBy("n", "id").agg(F.max(F.struct("score", "v")).alias("top"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("top.score")).alias("s"), "id", F.col("top.v").alias("v"))))
+    return single.groupBy("n").agg(F.slice(order, 1, k).alias("best")).select("n", F.explode("best").alias("b")).select("n", "b.v").toArrow()
+
+
+def calibrated(rows: DataFrame, is_query: Column, lists: Centroids, k: int) -> tuple[int, float]:
+    """(most lists a query probes, distance ratio) that reach ``RECALL`` on a bounded sample of the queries."""
+    asked = rows.where(is_query).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATE).select("id", "v").toArrow()
+    count = len(lists.points)
+    if not asked.num_rows or count <= PROBE_LEAST:
+        return PROBE_MOST, PROBE_RATIO
+    q = _matrix(asked.column("v").combine_chunks())
+    true = true_neighbours(rows, asked.column("id").to_numpy(), q, k)
+    if not true.num_rows:
+        return PROBE_MOST, PROBE_RATIO
+    n = true.column("n").to_numpy()
+    held, holds = lists.posted(_matrix(true.column("v").combine_chunks()))
+    for ratio in (PROBE_RATIO, np.inf):
+        most = min(PROBE_MOST, count)
+        while True:
+            near, keep = lists.probed(q, most, ratio)
+            hit = np.zeros((len(q), count), bool)
+            hit[np.nonzero(keep)[0], near[keep]] = True
+            reached = (hit[n[:, None], held] & holds).any(axis=1)
+            share = (np.bincount(n, reached, len(q)) / np.maximum(np.bincount(n, minlength=len(q)), 1))[np.unique(n)]
+            if share.mean() - 2 * share.std() / np.sqrt(len(share)) >= RECALL:
+                return most, ratio
+            if most == count:
+                break
+            most = min(count, int(most * GROW))
+    return count, np.inf
+
+
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row where ``is_query`` (over column ``id``) holds."""
     rows = durable(usable(vectors, id_col, vector_col))
@@ -141,21 +218,19 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
         drawn = rows.limit(1).toArrow()
     drawn = drawn.sort_by("id")
     lists = train(_matrix(drawn.column("v").combine_chunks()), facts["n"], float(np.sqrt(facts["m"])))
+    most, ratio = calibrated(rows, is_query, lists, k)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(a, 1000) for a in range(0, batch.num_rows, 1000)):
-                near, dist = lists.nearest(lists.augmented(_matrix(part.column("v"))), COPIES)
-                keep = dist <= BOUNDARY**2 * np.maximum(dist[:, :1], 1e-12)
+                near, keep = lists.posted(_matrix(part.column("v")))
                 row, _ = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(near[keep].astype(np.int64)), part.column("id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "id", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(a, 1000) for a in range(0, batch.num_rows, 1000)):
-                x = _matrix(part.column("v"))
-                near, dist = lists.nearest(np.concatenate([x, np.zeros((len(x), 1))], axis=1), PROBE_MOST)
-                keep = (dist <= PROBE_RATIO**2 * np.maximum(dist[:, :1], 1e-12)) | (np.arange(near.shape[1])[None, :] < PROBE_LEAST)
+                near, keep = lists.probed(_matrix(part.column("v")), most, ratio)
                 row, _ = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(near[keep].astype(np.int64)), part.column("id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "id", "v"])
 
@@ -193,7 +268,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
 
     keys = ["list", "block", "group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
-    # a query has at most PROBE_MOST lists' best here; of one id's several vectors the nearest counts
+    # a query has the best of each list it probed here; of one id's several vectors the nearest counts
     single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
     best = single.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"))

@@ -269,3 +269,17 @@ def test_ann_recall_and_odd_vectors(spark):
     assert ann.nearest_neighbours(vectors.limit(0), F.lit(True)).count() == 0
     few = ann.nearest_neighbours(vectors.where("vec_id < 4"), F.lit(True)).toPandas()
     assert few.groupby("query_id").size().tolist() == [3, 3, 3, 3]
+
+
+def test_ann_recall_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 10)
+    x = np.random.default_rng(8).normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(vectors, F.col("id") % 30 == 0, 20).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
+    assert got.query_id.nunique() == 200 and hits >= 0.9 * 20 * 200
