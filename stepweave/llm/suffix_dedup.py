@@ -5,7 +5,7 @@
    average); every window is in exactly one.
 2. *Groups.* Each task packs (anchor, hash of the snippet, owner) into arrays by shard, one entry per distinct snippet: where a
    smaller document of the same task has it, that already settles the others, so a hot passage costs a shard one entry a task. A shard sees which snippets occur in a
-   smaller document as they are: those are removed whole, without their bytes ever moving. Only the first owner of each
+   smaller document as they are, by 64-bit hashes: those are removed whole, without their bytes ever moving. Only the first owner of each
    distinct snippet of an anchor with several has windows left to compare, and only if another one has the same 16 bytes
    before or after the anchor (a common window holds 34 more bytes, so 17 on one side); it is asked for the bytes. An anchor with more
    than ``VARIANTS`` distinct snippets has them sent window by window, keyed by the window, so that it is split.
@@ -41,7 +41,7 @@ CHUNK = 1 << 20
 #: Bytes hashed at once and read at once: small, as each byte takes some ten 8-byte cells meanwhile.
 PIECE, SLICE = 1 << 18, 2 << 20
 WHOLE, SHIP, SPLIT = 0, 1, 2
-ANSWER = np.dtype([("anchor", "<u8"), ("snip", "<u4"), ("what", "u1")])
+ANSWER = np.dtype([("anchor", "<u8"), ("snip", "<u8"), ("what", "u1")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,9 +85,9 @@ def snippets(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, ...]:
         mid = where[start]
         left = np.where(mid - GRAM >= start, (h[np.maximum(mid - GRAM, 0)] >> np.uint64(48)) | np.uint64(1), np.uint64(0))
         right = np.where(mid + 2 * GRAM <= end, (h[np.minimum(mid + GRAM, n - 1)] >> np.uint64(48)) | np.uint64(1), np.uint64(0))
-        out.append((np.asarray(firsts)[owner[start]], start + a, end + a, anchor, (snip >> np.uint64(32)).astype(np.uint32), (left << np.uint64(16) | right).astype(np.uint32)))
+        out.append((np.asarray(firsts)[owner[start]], start + a, end + a, anchor, snip, (left << np.uint64(16) | right).astype(np.uint32)))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint32, np.uint32))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint32))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -176,7 +176,7 @@ def _answered(table: pa.Table, most: int) -> pa.Table:
     if not len(table.column("sides")[0].as_py()):
         answers, doc, key = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("anchor", ANSWER), ("ids", "<i8"), ("keys", "<i8")))
         return _by_document(answers, doc, key)
-    kinds = (("anchor", "<u8"), ("snip", "<u4"), ("sides", "<u4"), ("local", ""), ("ids", "<i8"), ("keys", "<i8"))
+    kinds = (("anchor", "<u8"), ("snip", "<u8"), ("sides", "<u4"), ("local", ""), ("ids", "<i8"), ("keys", "<i8"))
     parts = [[np.frombuffer(x, t or ("<u2" if len(i) < 8 << 16 else "<u4")) for x, i in zip(table.column(c).to_pylist(), table.column("ids").to_pylist())] for c, t in kinds]
     anchor, snip, sides = (np.concatenate(parts[k]) for k in range(3))
     doc = np.concatenate([ids[local] for ids, local in zip(parts[4], parts[3])])
@@ -242,7 +242,7 @@ def _matched(shards: int):
             packs = [b"".join(p) for p in batch.column("answers").to_pylist()]
             answers = np.frombuffer(b"".join(packs), ANSWER)
             asker = np.repeat(np.arange(len(packs)), [len(p) // ANSWER.itemsize for p in packs])
-            name = lambda d, a, s: _mix(a ^ _mix(s.astype(np.uint64))) ^ _mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            name = lambda d, a, s: _mix(a ^ _mix(s)) ^ _mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             asked = name(asker, answers["anchor"], answers["snip"])
             order = np.argsort(asked)
             pair = name(owner, anchor, snip)

@@ -233,6 +233,19 @@ def test_split_anchors_and_long_texts_change_nothing(spark, monkeypatch):
     assert windows(cut) == windows(whole) == set(range(len(raw) - 49))
 
 
+def test_many_variants_of_an_anchor_stay_apart():
+    r = np.random.default_rng(3)
+    grams = r.integers(97, 123, (500_000, 16)).astype(np.uint8)
+    word = grams.view("<u8")
+    h = suffix_dedup._mix(word[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ word[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+    n = 400_000  # each text is one window, with the least of many hashes as its anchor
+    texts = np.concatenate([np.tile(grams[h.argmin()], (n, 1)), r.integers(97, 123, (n, 34)).astype(np.uint8)], axis=1)
+    owner, _, _, anchor, snip, _ = suffix_dedup.snippets(texts.tobytes(), np.arange(n + 1) * 50)
+    values, times = np.unique(anchor, return_counts=True)
+    same = anchor == values[times.argmax()]
+    assert same.sum() > 0.99 * n and len(np.unique(snip[same])) == same.sum() and len(np.unique(owner)) == n
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_interval_expansion_equals_windows(seed):
     r = np.random.default_rng(seed)
