@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontaminate, language_id, packing, secrets, simhash
+from stepweave.llm import decontaminate, language_id, near_dup, packing, secrets, simhash
 from stepweave.llm.tokens import vocabulary
 from stepweave.plans.durable import fresh_path
 
@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of every SimHash group."""
-    return simhash.deduplicated(docs)
+    """Keep the document with the least id of every group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return simhash.deduplicated(docs, groups=near_dup.near_copies(docs))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,8 +35,8 @@ THRESHOLD = 4
 HOMES = 2048
 
 
-def fingerprints(column: pa.Array, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """One unsigned 64-bit SimHash per text; zero for a text without words."""
+def shingle_hashes(column: pa.Array, k: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words, text after text, and how many each text has; fewer words are one run."""
     raw, at = text_bytes(column, LOWER)
     hashes: list[int] = []
     counts = np.zeros(len(at) - 1, np.int64)
@@ -54,7 +54,12 @@ def fingerprints(column: pa.Array, k: int = SHINGLE, seed: int = SEED) -> np.nda
         firsts = np.concatenate([[0], ends[:-k] + 1]).tolist()
         hashes += [digest(joined[s:e], seed) for s, e in zip(firsts, ends[k - 1 :].tolist())]
         counts[d] = len(firsts)
-    return _majority(np.array(hashes, np.uint64), counts)
+    return np.array(hashes, np.uint64), counts
+
+
+def fingerprints(column: pa.Array, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """One unsigned 64-bit SimHash per text; zero for a text without words."""
+    return _majority(*shingle_hashes(column, k, seed))
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -189,12 +194,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """The documents that are the least of their component, with all their columns; rows with a null id are kept.
 
-    Repeated rows of one id are reduced to one of them.
+    Repeated rows of one id are reduced to one of them. ``groups`` (doc_id, component_id) replaces ``near_duplicates``.
     """
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id")
+    found = (near_duplicates(docs, id_col, text_col) if groups is None else groups).where("doc_id = component_id")
     keep = durable(found.groupBy(F.col("doc_id").alias("__kept")).count())
     one = docs.where(F.col(f"`{id_col}`").isNotNull())
     if not keep.where("count > 1").isEmpty():  # only then are whole rows compared by id, which costs a sort of the texts

@@ -92,3 +92,24 @@ def test_sql_oracles(spark, sf_dir, name):
     got, want = queries.queries()[name](spark, sf_dir).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     view = lambda d: sorted(repr([None if v is None or v != v else v for v in r]) for r in d[sorted(d.columns)].astype(object).values.tolist())
     assert view(got) == view(want)
+
+
+def test_near_copies_of_similarity_0_8_go(spark):
+    r = random.Random(9)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    texts = [prose(r, n) for n in (40, 80, 150, 400) for _ in range(5)]
+    for t in texts[:20]:
+        for edits in (1, 2, 4, 6, 9):
+            words = t.split()
+            for k in r.sample(range(len(words)), edits):
+                words[k] = f"changed{r.randint(0, 10**6)}"
+            texts.append(" ".join(words))
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {k for k in range(len(texts)) if root[k] == k} and len(kept) < len(texts) - 30
