@@ -36,6 +36,24 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Keys that hold more than one in so many rows are joined by broadcast: there are fewer of them than this, whatever the data.
+HOT = 1000
+
+
+def attached(rows: DataFrame, table: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``table``, a durable table of one row per key that counts its rows in ``count``.
+
+    A key that holds a large part of all rows never meets one task: such keys are few and broadcast, the others shuffled.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) * HOT > total
+    many = table.where(hot).drop(count)
+    if many.isEmpty() or total < HOT * HOT:  # in a small table no key is a burden
+        return rows.join(table.drop(count), keys)
+    many = F.broadcast(many)
+    return rows.join(many, keys).unionByName(rows.join(many.select(*keys), keys, "left_anti").join(table.where(~hot).drop(count), keys))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that no slice holds more than ``limit`` bytes of text (or one row)."""
     for batch in batches:

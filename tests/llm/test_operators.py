@@ -143,7 +143,7 @@ def test_secrets_base_and_ownership(spark):
 
 def test_url_filter_rules_and_oracle(spark):
     urls = [None, "", "no scheme", "http://A.com", "http://a.COM/", "x://www.example.com/en/1?q=://b.net/es/", "https://sub.example.com/en/x#f", "http://example.com/EN/", "http://n.net/es/1/2/3/4/5", "http://n.net/fr", "http://net/fr/a.HTML", "//x", "http://notexample.com/en/a", "http://q.org/es/77", "http:///path", "a://b://c.com/x"]
-    pages = spark.createDataFrame([(k % 16, u, "x", "clash") for k, u in enumerate(urls * 2)], "page_id long, url string, html string, host string")
+    pages = spark.createDataFrame([(k % 16, u, "x", "clash") for k, u in enumerate(urls * 2)] + [(None, "http://n.net/es/q/r/s/t/u", None, None)], "page_id long, url string, html string, host string")
     got = url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict", "template").toPandas()
     con = duckdb.connect()
     con.register("pages", pages.toPandas())
@@ -155,6 +155,33 @@ def test_url_filter_rules_and_oracle(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def judge_urls(spark, urls):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {r.page_id: r for r in url_filter.judged(pages).collect()}
+
+
+def test_url_filter_needs_labels_to_reject(spark):
+    blocked = [f"http://a.net/es/x{k}" for k in range(40)]
+    got = judge_urls(spark, blocked + ["http://other.org/es/x1", "http://b.org/p/q/r", "http://c.net/de/x1", "http://c.net/es/x1"])
+    assert [got[k].verdict for k in range(40, 44)] == ["allow", "allow", "allow", "block"]  # the last one by its rule
+
+
+@pytest.mark.parametrize("siblings", [1, 8, 12, 200])
+def test_labelled_siblings_never_split_off_a_branch_without_labels(spark, siblings):
+    got = judge_urls(spark, ["http://x.net/en/home"] + [f"http://x.net/fr/p{chr(97 + k % 26)}" for k in range(siblings)])
+    assert got[0].template == "/*/*"
+
+
+def test_url_filter_goes_as_deep_as_the_paths(spark):
+    rules = (("block", "d.net", "/a/b/c/d/bad/"), ("allow", "d.net", "/a/b/c/d/good/"))
+    deep = "/".join(["s"] * 300)
+    urls = [f"http://d.net/a/b/c/d/{kind}/p{c}" for kind in ("bad", "good") for c in "qrstuvwxyz" * 3] + ["http://d.net/a/b/c/d/bad", f"http://e.net/{deep}", f"http://e.net/{deep}/t"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judged(pages, rules).collect()}
+    assert got[0].template == "/*/*/*/*/bad/*" and got[30].template.startswith("/*/*/*/*/good/")
+    assert got[61].template == "/" + "/".join(["*"] * 300) and got[62].template == "/" + "/".join(["*"] * 301)
+
+
 def test_language_id_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = language_id.op5_language_id(spark, sf_dir).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
