@@ -4,13 +4,15 @@ The automaton is built over word numbers. Training words stream through it; at e
 match that ends there is known, and with it every window of an item that ends there. Words outside the items'
 vocabulary reset the match, so only runs of known words are streamed at all.
 
-The items go to the workers in shards of at most ``SHARD_WORDS`` words, which bounds the automaton (at most two states a
-word) whatever the benchmark's size; with more than one shard the documents are scanned once per shard and the findings
-are combined per document. Items are never split, and windows never span items, so sharding loses nothing.
+The items go to the workers in shards of about ``SHARD_WORDS`` words, which bounds an automaton (at most two states a
+word). ``SHARDS`` of them, built once per worker, share one scan of the documents; a larger benchmark takes a scan for
+every ``SHARDS`` shards, and the driver holds the items of one scan at a time. Items are never split, and windows never
+span items, so sharding loses nothing: findings are combined per document.
 
 Rows: null or wordless texts have no words and no hits; null or wordless items have no windows; items with a null id
-are left out; repeated items count once by id. Repeated document rows each get their row. An empty benchmark hits
-nothing. Items that all share one window are all reported where it occurs.
+are left out; repeated items count once by id. Repeated document rows each get their row, null ids included. An empty
+benchmark hits nothing. Items that all share one window are all reported where it occurs, so there are no ties to break.
+Very long texts are slices of their own and scanned whole. Other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import ALNUM, load, picked, slices, text_bytes, words_of
+from stepweave.plans.durable import durable
 
 WINDOW = 8
-SHARD_WORDS = 2_000_000
+SHARD_WORDS, SHARDS = 200_000, 4
 #: Spans of this many words or more condemn their document; shorter hits are cut out of it.
 LONG_SPAN = 13
 COVERAGE = 0.5
@@ -130,32 +133,42 @@ class SuffixAutomaton:
         return spans, found
 
 
-_BUILT: dict[str, tuple[SuffixAutomaton, pa.Array]] = {}
+_BUILT: dict[str, tuple[SuffixAutomaton, pa.Array, int]] = {}
+Shard = list[tuple[str, str]]
 
 
-def _automaton(key: str, items: list[tuple[str, str]], window: int) -> tuple[SuffixAutomaton, pa.Array]:
-    """Built once per worker and shard."""
+def _words(text: str) -> list[bytes]:
+    """By the contract's class: bytes, as ``str.split`` would also part at white space beyond ASCII."""
+    return text.encode().translate(ALNUM).split()
+
+
+def _automaton(key: str, items: Shard, window: int) -> tuple[SuffixAutomaton, pa.Array, int]:
+    """The automaton, its vocabulary and its shortest window; built once per worker and shard."""
     if key not in _BUILT:
-        _BUILT.clear()
-        words = [(name, text.encode().translate(ALNUM).decode().split()) for name, text in items]
+        while len(_BUILT) >= SHARDS:
+            _BUILT.pop(next(iter(_BUILT)))
+        words = [(name, _words(text)) for name, text in items]
         vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in words for w in ws}))}
-        _BUILT[key] = SuffixAutomaton(((name, [vocabulary[w] for w in ws]) for name, ws in words), window), pa.array(list(vocabulary), pa.large_string())
+        automaton = SuffixAutomaton(((name, [vocabulary[w] for w in ws]) for name, ws in words), window)
+        shortest = min((min(window, size) for by in automaton.items.values() for size in by), default=window)
+        _BUILT[key] = automaton, pa.array([w.decode() for w in vocabulary], pa.large_string()), shortest
     return _BUILT[key]
 
 
-def _scan(items: list[tuple[str, str]], window: int, with_text: bool):
-    """Batches of (doc_id, text, ..) to the contract's findings plus spans, one row per document."""
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+def _scan(shards: list[Shard], window: int):
+    """Batches of (doc_id, rid, text) to the contract's findings plus spans, one row per document."""
+    keys = [hashlib.sha256(repr((items, window)).encode()).hexdigest() for items in shards]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, vocabulary = _automaton(key, items, window)
-        shortest = min((min(window, size) for by in automaton.items.values() for size in by), default=window)
         for batch in slices(batches):
             starts, flat = words_of(batch.column("text"), ALNUM)
             n = len(starts) - 1
             spans: list[list[int]] = [[] for _ in range(n)]
             found: list[list[str]] = [[] for _ in range(n)]
-            if len(flat) and len(vocabulary):
+            for key, items in zip(keys, shards):
+                automaton, vocabulary, shortest = _automaton(key, items, window)
+                if not len(flat) or not len(vocabulary):
+                    continue
                 word = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy()
                 known = word >= 0
                 # runs of known words within a document
@@ -172,38 +185,49 @@ def _scan(items: list[tuple[str, str]], window: int, with_text: bool):
                     for s, e in own:
                         spans[d] += [s + a - int(starts[d]), e + a - int(starts[d])]
                     found[d] += names
-            columns = {"rid": batch.column("rid"), "n_words": pa.array(np.diff(starts)), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))}
-            if with_text:
-                columns |= {"text": batch.column("text")}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | columns)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "rid": batch.column("rid"), "n_words": pa.array(np.diff(starts)), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))})
 
     return run
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in bounded groups, each small enough for one worker."""
+def _scans(items: DataFrame, id_col: str, text_col: str, shard_words: int) -> tuple[int, Iterator[list[Shard]]]:
+    """How many scans there are, and the items of each, as bounded shards; only one scan's items are held at a time."""
     rows = picked(items, name=id_col, text=text_col).where("name is not null and text is not null").select(F.col("name").cast("string"), "text").distinct()
     sized = rows.withColumn("words", F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))
     total = sized.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    for k in range(shards):
-        part = sized if shards == 1 else sized.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k)
-        yield sorted((r["name"], r["text"]) for r in part.select("name", "text").collect())
+    scans = -(-shards // SHARDS)
 
+    def held() -> Iterator[list[Shard]]:
+        numbered = sized.select("name", "text", F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard"))
+        for k in range(scans):
+            parts: dict[int, Shard] = {}
+            for r in numbered.where(F.col("shard").between(k * SHARDS, (k + 1) * SHARDS - 1)).collect():
+                parts.setdefault(r["shard"], []).append((r["name"], r["text"]))
+            yield [sorted(parts[x]) for x in sorted(parts)]
 
-def findings(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS, with_text: bool = False) -> DataFrame:
-    """doc_id, rid, n_words, spans (flat list of word starts and ends), items (ids), and the text if asked for."""
-    rows = picked(docs, doc_id=id_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
-    kind = docs.schema[id_col].dataType.simpleString()
+    return scans, held()
+
+
+def _found(rows: DataFrame, kind: str, items: DataFrame, window: int, item_id: str, item_text: str, shard_words: int) -> DataFrame:
+    """Findings of durable or single-scan rows (doc_id, text, rid)."""
     schema = f"doc_id {kind}, rid long, n_words long, spans array<long>, items array<string>"
-    parts = [rows.mapInArrow(_scan(shard, window, with_text), schema + ", text string" * with_text) for shard in _shards(items, item_id, item_text, shard_words)]
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    text = [F.first("text", True).alias("text")] if with_text else []
-    return merged.groupBy("rid").agg(F.first("doc_id", True).alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *text)
+    scans, held = _scans(items, item_id, item_text, shard_words)
+    if scans == 1:
+        return rows.mapInArrow(_scan(next(held), window), schema)
+    merged = None
+    for shards in held:  # each scan is done before the next one's items are fetched
+        part = durable(rows.mapInArrow(_scan(shards, window), schema))
+        merged = part if merged is None else merged.unionByName(part.where("size(items) > 0"))
+    return merged.groupBy("rid").agg(F.first("doc_id", True).alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def findings(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, rid, n_words, spans (flat list of word starts and ends), items (ids): one row per document row."""
+    rows = picked(docs, doc_id=id_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
+    if _scans(items, item_id, item_text, shard_words)[0] > 1:
+        rows = durable(rows)  # row numbers must mean the same rows in every scan
+    return _found(rows, docs.schema[id_col].dataType.simpleString(), items, window, item_id, item_text, shard_words)
 
 
 def covered(spans: F.Column) -> F.Column:
@@ -214,44 +238,53 @@ def covered(spans: F.Column) -> F.Column:
     return F.when(F.size(spans) > 0, F.aggregate(pairs, zero, step, lambda a: a["sum"])).otherwise(F.lit(0).cast("long"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, long_span: int = LONG_SPAN, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, long_span: int = LONG_SPAN, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents with the benchmark taken out, with all their columns.
 
     A document goes if windows of two items or more occur in it, if a hit span has ``long_span`` words or more, or if
     hits cover more than ``coverage`` of its words. Shorter hits are cut out of its text; any other text is unchanged.
     """
-    kind = docs.schema
-    names = [f.name for f in kind]
-    shards = list(_shards(items, "item_id", "text", SHARD_WORDS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scans = [_scan(shard, window, False) for shard in shards]
-        for batch in slices(batches, text_col):
-            own = pa.RecordBatch.from_pydict({"doc_id": batch.column(id_col), "text": batch.column(text_col), "rid": pa.array(np.arange(batch.num_rows))})
-            n = batch.num_rows
-            hits, hit_items, sizes = [set() for _ in range(n)], [set() for _ in range(n)], [0] * n
-            for scan in scans:
-                for d, row in enumerate(r for part in scan(iter([own])) for r in part.to_pylist()):
-                    sizes[d] = row["n_words"]
-                    hit_items[d].update(row["items"])
-                    for s, e in zip(row["spans"][::2], row["spans"][1::2]):
-                        hits[d].update(range(s, e))
-            keep, texts = [], batch.column(text_col).to_pylist()
-            for d in range(n):
-                run_length = longest = 0
-                for w in sorted(hits[d]):
-                    run_length = run_length + 1 if w - 1 in hits[d] else 1
-                    longest = max(longest, run_length)
-                if len(hit_items[d]) >= 2 or longest >= long_span or len(hits[d]) > coverage * sizes[d]:
-                    continue
-                keep.append(d)
-                if hits[d]:
-                    texts[d] = cut(texts[d], hits[d])
-            place = names.index(text_col)
-            columns = [pa.array(texts, batch.schema.field(text_col).type) if k == place else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(keep, pa.int64()))
-
-    return docs.mapInArrow(run, kind)
+    names = docs.columns
+    place = names.index(text_col)
+
+    def judged(batch: pa.RecordBatch, rows: list[dict]) -> pa.RecordBatch:
+        keep, texts = [], batch.column(place).to_pylist()
+        for d, row in enumerate(rows):
+            hits = {w for s, e in zip(row["spans"][::2], row["spans"][1::2]) for w in range(s, e)}
+            run_length = longest = 0
+            for w in sorted(hits):
+                run_length = run_length + 1 if w - 1 in hits else 1
+                longest = max(longest, run_length)
+            if len(row["items"]) >= 2 or longest >= long_span or len(hits) > coverage * row["n_words"]:
+                continue
+            keep.append(d)
+            if hits:
+                texts[d] = cut(texts[d], hits)
+        columns = [pa.array(texts, batch.schema.field(place).type) if k == place else batch.column(k) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(len(names))])).take(pa.array(keep, pa.int64()))
+
+    scans, held = _scans(items, "item_id", "text", shard_words)
+    if scans == 1:
+        scan = _scan(next(held), window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text_col):
+                own = pa.RecordBatch.from_pydict({"doc_id": batch.column(id_col), "text": batch.column(text_col), "rid": pa.array(np.arange(batch.num_rows))})
+                yield judged(batch, [row for part in scan(iter([own])) for row in part.to_pylist()])
+
+        return docs.mapInArrow(run, docs.schema)
+
+    numbered = durable(docs.toDF(*[f"c{k}" for k in range(len(names))]).withColumn("rid", F.monotonically_increasing_id()))  # own names, so that none can clash
+    rows = numbered.select(F.col(f"c{names.index(id_col)}").alias("doc_id"), F.col(f"c{place}").alias("text"), "rid")
+    found = _found(rows, docs.schema[id_col].dataType.simpleString(), items, window, "item_id", "text", shard_words)
+    told = found.where("size(items) > 0").select("rid", "n_words", "spans", "items")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, f"c{place}"):
+            yield judged(batch, batch.select(["n_words", "spans", "items"]).to_pylist())
+
+    hit = numbered.join(told, "rid").drop("rid").mapInArrow(decide, docs.toDF(*[f"c{k}" for k in range(len(names))]).schema)
+    return numbered.join(told.select("rid"), "rid", "left_anti").drop("rid").unionByName(hit).toDF(*names)
 
 
 def cut(text: str, words: set[int]) -> str:

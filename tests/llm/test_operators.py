@@ -93,8 +93,8 @@ def test_deduplicated_keeps_columns_and_one_of_each_group(spark):
 
 
 def test_decontamination_against_windows(spark):
-    items = ["one two three four five six seven eight nine ten", "short item", "x y z", None, "...", "four five six seven eight nine ten eleven", "é b c d e f g h é b c d e f g h i"]
-    texts = ["zz ONE, two three-four five six seven eight nine ten eleven!", "a short item", "x y x y z", None, "", "é b c d e f g h é b c d e f g h é b c", "one two three", "short short item item " * 50]
+    items = ["one two three four five six seven eight nine ten", "short item", "x y z", None, "...", "four five six seven eight nine ten eleven", "é b c d e f g h é b c d e f g h i", "東京\u3000大阪 x", "nbsp\u00a0word alone", "\u0085", "line\x1cfeed \u2003 em"]
+    texts = ["zz ONE, two three-four five six seven eight nine ten eleven!", "a short item", "x y x y z", None, "", "é b c d e f g h é b c d e f g h é b c", "one two three", "short short item item " * 50, "see 東京\u3000大阪 x!", "東京 大阪 x", "Nbsp\u00a0word, alone nbsp word alone", "a \u0085 b", "line feed \u2003 em line\x1cfeed \u2003 em"]
     got = {r.doc_id: r for r in decontaminate.findings(table(spark, texts), spark.createDataFrame(list(enumerate(items)) + [(None, "x y z"), (1, "short item")], "item_id long, text string")).withColumn("n_hit", decontaminate.covered(F.col("spans"))).collect()}
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
     for k, t in enumerate(texts):
@@ -110,11 +110,18 @@ def test_decontamination_against_windows(spark):
         assert (got[k].n_words, got[k].n_hit, got[k]["items"]) == (len(w), len(hit), sorted(names)), k
 
 
-def test_decontamination_in_shards_is_the_same(spark):
-    items = spark.createDataFrame([(k, f"w{k} w{k + 1} w{k + 2} w{k + 3} w{k + 4} w{k + 5} w{k + 6} w{k + 7} w{k + 8}") for k in range(12)], "item_id long, text string")
-    docs = table(spark, [" ".join(f"w{k}" for k in range(25)), "w1 w2", None])
-    view = lambda f: sorted((r.doc_id, r.n_words, r["items"], r.n) for r in f.withColumn("n", decontaminate.covered(F.col("spans"))).collect())
-    assert view(decontaminate.findings(docs, items)) == view(decontaminate.findings(docs, items, shard_words=30))
+@pytest.mark.parametrize("shard_words,at_once", [(40, 4), (30, 1), (15, 2)])
+def test_decontamination_in_shards_is_the_same(spark, monkeypatch, shard_words, at_once):
+    monkeypatch.setattr(decontaminate, "SHARDS", at_once)
+    rows = [(k, f"w{k} w{k + 1} w{k + 2} w{k + 3} w{k + 4} w{k + 5} w{k + 6} w{k + 7} w{k + 8}") for k in range(12)] + [(99, "a\u3000b c")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [" ".join(f"w{k}" for k in range(25)), "w1 w2", None, "", "x a\u3000b c y", "a b c", "zz " * 40 + rows[3][1].rsplit(" ", 1)[0]] * 3
+    docs = table(spark, texts).withColumn("rid", F.lit("clash")).unionByName(table(spark, ["w1 w2"]).withColumn("doc_id", F.lit(None).cast("long")))
+    view = lambda f: sorted((r.doc_id is None, r.doc_id, r.n_words, r["items"], r.n) for r in f.withColumn("n", decontaminate.covered(F.col("spans"))).collect())
+    one = view(decontaminate.findings(docs, items))
+    assert one == view(decontaminate.findings(docs, items, shard_words=shard_words)) and len(one) == 22
+    kept = lambda w: sorted((r.doc_id is None, r.doc_id, r.text or "", r.rid) for r in decontaminate.decontaminated(docs, items, shard_words=w).collect())
+    assert kept(10**6) == kept(shard_words)
 
 
 def test_decontaminated_texts(spark):
