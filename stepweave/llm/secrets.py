@@ -2,15 +2,17 @@
 
 Every text is matched once. Matches of the three base kinds are always spans; in addition, opaque tokens (20 or more
 token characters, a digit and a letter among them, ten or more different characters) are candidates. Only hashes of
-matched values leave the scan. They are aggregated over the corpus by distinct repositories and owners: a value seen
-with more than ``MAX_OWNERS`` owners is a widely copied example, any other one looks live. Live candidates that no base
-span touches are added as spans of kind ``owned``.
+matched values leave the scan. They are aggregated over the corpus by distinct repositories and owners. A value of one
+owner looks live in however many of its repositories it lies; one of several owners is a widely copied example if there
+are more than ``MAX_OWNERS`` of them, or if together they hold it in more than ``MAX_REPOS`` repositories. Live candidates
+that no base span touches are added as spans of kind ``owned``.
 
 A value that a third of all rows hold is reduced to its distinct (repository, owner) before the count; where verdicts
-join back, both sides are salted ``SALT`` ways.
+join back, such values (they are few) are broadcast and all others shuffled.
 
 Rows: null text is empty; null owners or repositories count as one unnamed owner; repeated rows and null ids get their
-own result rows; an empty table gives none.
+own result rows; very long texts are scanned whole; spans that start together keep the order of their kinds; other
+columns, whatever their names, are never read, and ``redacted`` keeps them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import load, picked
+from stepweave.llm.common import attached, load, picked
 from stepweave.plans.durable import durable
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: (kind, pattern, group that holds the value, least length of that value)
 BASE = (("assign", ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]{32,}", 0, 32))
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
-MAX_OWNERS = 2
-SALT = 8
+MAX_OWNERS, MAX_REPOS = 2, 4
+#: Up to so many redacted texts with so many spans together, the marks are broadcast; beyond it texts and marks are shuffled.
+MARKS = 200_000
 SPAN = "array<struct<s:int,rank:int,e:int,kind:string,value:string>>"
 
 
@@ -65,16 +68,21 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
 
 
 def ownership(scan: DataFrame) -> DataFrame:
-    """value, n_repos, n_owners over the whole corpus."""
+    """value, n_repos, n_owners over the whole corpus, and n, the documents that hold it."""
     held = scan.select("owner", "repo", F.explode(F.array_distinct(F.transform(F.concat("base", "owned"), lambda x: x["value"]))).alias("value"))
-    return held.distinct().groupBy("value").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
+    pairs = held.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
+    return pairs.groupBy("value").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n"))
 
 
-def verdicts(scan: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def looks_live(max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> Column:
+    return (F.col("n_owners") <= 1) | ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+
+
+def verdicts(scan: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """rid and its spans with ``live`` true or false, in order; rows without any span are left out."""
-    spans = scan.select("rid", F.pmod(F.col("rid"), F.lit(SALT)).alias("salt"), F.explode(F.concat("base", "owned")).alias("x"))
-    known = ownership(scan).select("value", (F.col("n_owners") <= max_owners).alias("live"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALT)])).alias("salt"))
-    judged = spans.withColumn("value", F.col("x.value")).join(known, ["value", "salt"])
+    spans = scan.select("rid", F.explode(F.concat("base", "owned")).alias("x")).withColumn("value", F.col("x.value"))
+    known = durable(ownership(scan).select("value", "n", looks_live(max_owners, max_repos).alias("live")))
+    judged = attached(spans, known, ["value"])
     row = F.struct("x.s", "x.rank", "x.e", "x.kind", "live")
     return judged.groupBy("rid").agg(F.array_sort(F.collect_list(row)).alias("spans"))
 
@@ -101,15 +109,18 @@ def redacted(docs: DataFrame, mask: str = "<secret>", id_col: str = "doc_id", te
 
     Rows are matched by id and text, and equal ones are redacted alike, so repeated rows stay as they are.
     """
-    live = secrets(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "key", F.filter("spans", lambda x: x["live"]).alias("__spans")).where(F.size("__spans") > 0)
-    marks = live.groupBy("doc_id", "key").agg(F.first("__spans").alias("__spans")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__spans")
-    text = F.col(f"`{text_col}`")
+    live = secrets(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "key", F.filter("spans", lambda x: x["live"]).alias("spans")).where(F.size("spans") > 0)
+    marks = durable(live.groupBy("doc_id", "key").agg(F.first("spans").alias("spans")).toDF("m_id", "m_key", "spans"))
+    names = docs.columns
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])  # own names, so that none can clash
+    doc, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     piece = lambda acc, x: F.when(x["s"] >= acc["at"], F.concat(acc["out"], text.substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
     step = lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), piece(acc, x).alias("out"))
-    masked = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    joined = docs.join(marks, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__key")), "left")
-    return joined.select(*[(F.when(F.col("__spans").isNotNull(), masked).otherwise(text) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    size = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    joined = own.join(F.broadcast(marks) if sum(size) <= MARKS else marks, doc.eqNullSafe(F.col("m_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("m_key")), "left")
+    return joined.select(*[(F.when(F.col("spans").isNotNull(), masked).otherwise(text) if name == text_col else F.col(f"c{k}")).alias(name) for k, name in enumerate(names)])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,12 +141,13 @@ def _sql_kind(kind: str, rank: int, pattern: str, group: int, least: int) -> str
 
 
 _SQL_ASSIGN = ASSIGN.replace("(?i:(password|passwd|secret|token|api_?key))", "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")")
-OP2_SQL = f"""with d as (select row_number() over () rid, doc_id, coalesce(text, '') t, coalesce(source, '') o from documents),
+OP2_SQL = f"""with d as (select row_number() over () rid, doc_id, coalesce(text, '') t, coalesce(source, '') o, coalesce(source, '') r from documents),
 b as ({" union all ".join(_sql_kind(k, r, _SQL_ASSIGN if k == "assign" else p, g, n) for r, (k, p, g, n) in enumerate(BASE))}),
 c as (select * from ({_sql_kind("owned", 3, CANDIDATE, 0, 20)}) x where not exists (select 1 from b where b.rid = x.rid and b.s < x.e and x.s < b.e)),
 a as (select * from b union all select * from c),
-w as (select v, count(distinct o) n from a join d using (rid) group by v),
-f as (select a.*, n <= {MAX_OWNERS} live from a join w using (v) where kind <> 'owned' or n <= {MAX_OWNERS}),
+w as (select v, count(distinct o) owners, count(distinct r) repos from a join d using (rid) group by v),
+l as (select v, owners <= 1 or (owners <= {MAX_OWNERS} and repos <= {MAX_REPOS}) live from w),
+f as (select a.*, live from a join l using (v) where kind <> 'owned' or live),
 p as (select rid, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex,
   string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (kind <> 'owned') base, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) spans,
   count(*) filter (live) n_live, count(*) filter (not live) n_copied from f group by rid)
