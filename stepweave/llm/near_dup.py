@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import LOWER, SMALL_SLICE, picked, slices, text_bytes
-from stepweave.llm.simhash import SEED, fingerprints, links, shingle_hashes
+from stepweave.llm.common import LOWER, SMALL_SLICE, attached, slices, text_bytes
+from stepweave.llm.simhash import SEED, fingerprints, keyed, links, shingle_hashes
 from stepweave.operators.components import connected_components
 from stepweave.plans.durable import durable
 
@@ -52,7 +52,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=SMALL_SLICE):
         text = batch.column("text")
         lists = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS, bands(text).ravel())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _keys(text), pa.array(fingerprints(text).view(np.int64)), lists], ["doc_id", "key", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), _keys(text), pa.array(fingerprints(text).view(np.int64)), lists], ["doc_id", "text_key", "key", "fp", "bands"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +68,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: the least doc_id reachable over pairs of similarity 0.8 or more, one row per document row.
+    """doc_id, text_key, component_id: the least doc_id reachable over pairs of similarity 0.8 or more, one row per document row.
 
     Rows with a null id are linked too; a component of such rows only has a null id. Texts without words are alike.
     """
-    rows = picked(docs, doc_id=id_col, text=text_col)
-    sketches = durable(rows.mapInArrow(_sketched, "doc_id long, key long, fp long, bands array<long>"))
-    distinct = durable(sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    rows = keyed(docs, id_col, text_col)
+    sketches = durable(rows.mapInArrow(_sketched, "doc_id long, text_key long, key long, fp long, bands array<long>"))
+    distinct = durable(sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"), F.count("*").alias("n")))
     stands = distinct.groupBy("fp").agg(F.min("key").alias("stand"))
     linked = links(stands.select("fp"))
     by_print = distinct.join(stands, "fp").select("key", "stand")
@@ -104,6 +104,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     right = left.toDF("b", "band", "key2", "root2")
     rest = left.join(right, ["b", "band"]).where("key < key2 and root <> root2").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
     groups = connected_components(first.union(durable(verified(rest.join(proposed, ["a", "b"], "left_anti")))), "a", "b").toDF("key", "root")
-    joined = distinct.join(groups, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    joined = distinct.join(groups, "key", "left").select("key", "least", "n", F.coalesce("root", "key").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return sketches.select("doc_id", "key").join(joined.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    told = durable(joined.join(smallest, "root").select("key", "n", "component_id"))
+    return attached(sketches.select("doc_id", "text_key", "key"), told, ["key"]).select("doc_id", "text_key", "component_id")

@@ -15,6 +15,7 @@ pairs; stars keep every group connected.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import LOWER, SMALL_SLICE, load, picked, slices, text_bytes
+from stepweave.llm.common import LOWER, SMALL_SLICE, attached, load, picked, slices, text_bytes
 from stepweave.operators.components import connected_components
 from stepweave.plans.durable import durable
 
@@ -33,28 +34,49 @@ SHINGLE = 4
 SEED = 42
 THRESHOLD = 4
 HOMES = 2048
+#: Bytes of one text that are split into words at a time.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def shingle_hashes(column: pa.Array, k: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words, text after text, and how many each text has; fewer words are one run."""
     raw, at = text_bytes(column, LOWER)
-    hashes: list[int] = []
+    hashes: list[np.ndarray] = []
     counts = np.zeros(len(at) - 1, np.int64)
     digest = xxhash.xxh64_intdigest
     for d in range(len(at) - 1):
-        words = raw[at[d] : at[d + 1]].split()
-        if not words:
-            continue
-        joined = b" ".join(words)
-        if len(words) <= k:
-            hashes.append(digest(joined, seed))
+        words: list[bytes] = []  # the last k - 1 of the piece before and those of this one
+        some = False
+        for piece in _word_pieces(raw, int(at[d]), int(at[d + 1])):
+            words = words[-(k - 1) :] + piece if some and k > 1 else words + piece
+            if len(words) < k:
+                continue
+            some = True
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            firsts = np.concatenate([[0], ends[:-k] + 1]).tolist()
+            own = [digest(joined[s:e], seed) for s, e in zip(firsts, ends[k - 1 :].tolist())]
+            hashes.append(np.array(own, np.uint64))
+            counts[d] += len(own)
+            if k == 1:
+                words = []
+        if words and not some:
+            hashes.append(np.array([digest(b" ".join(words), seed)], np.uint64))
             counts[d] = 1
-            continue
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        firsts = np.concatenate([[0], ends[:-k] + 1]).tolist()
-        hashes += [digest(joined[s:e], seed) for s, e in zip(firsts, ends[k - 1 :].tolist())]
-        counts[d] = len(firsts)
-    return np.array(hashes, np.uint64), counts
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+
+
+def _word_pieces(raw: bytes, start: int, end: int) -> Iterator[list[bytes]]:
+    """The words of ``raw[start:end]``, some at a time: a very long text's words take several times its size."""
+    while start < end:
+        stop = min(start + PIECE, end)
+        while stop < end and raw[stop] not in b" \t\n\r\v\f":  # a piece ends where a word does
+            after = _SPACE.search(raw, stop, end)
+            stop = after.start() if after else end
+        if words := raw[start:stop].split():
+            yield words
+        start = stop
 
 
 def fingerprints(column: pa.Array, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -84,14 +106,19 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, text_key: what tells the rows of one id apart."""
+    return picked(docs, doc_id=id_col, text=text_col).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long). Null text has no words."""
+    """doc_id, text_key, fp (the fingerprint as a signed long). Null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SMALL_SLICE):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text"), k, seed).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fingerprints(batch.column("text"), k, seed).view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return picked(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 @lru_cache(1)
@@ -173,39 +200,49 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, homes_per_block: int
     crowded = home.groupBy("anchor").count().where(F.col("count") > homes_per_block)
     block = F.coalesce(F.pmod(F.xxhash64("fp"), F.ceil(F.col("count") / homes_per_block)), F.lit(0))
     blocks = home.join(crowded, "anchor", "left").groupBy("anchor", block.alias("block")).agg(F.collect_list("fp").alias("homes"))
-    replica = distinct.mapInArrow(_anchored(threshold), "anchor long, fp long")
+    # some hundred replicas a row: without a spread, a few tasks that read a small table would make them all
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    replica = distinct.repartition(spread, "fp").mapInArrow(_anchored(threshold), "anchor long, fp long")
     met = replica.join(blocks, "anchor").select("fp", F.filter("homes", lambda h: (h != F.col("fp")) & (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= threshold)).alias("near")).where(F.size("near") > 0)
     star = met.select(F.array_min("near").alias("v"), F.explode(F.array_append("near", F.col("fp"))).alias("u"))
     return star.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp, component_id: the least doc_id reachable over links, one row per document row.
+    """doc_id, text_key (a hash of the text), fp, component_id: the least doc_id reachable over links, one row per document row.
 
     Texts without words share fingerprint zero and are linked like any others. Rows with a null id are linked too; a
-    component of such rows only has a null id. Repeated rows stay repeated. An empty table gives no rows.
+    component of such rows only has a null id. Repeated rows stay repeated. Very long texts are hashed a piece at a
+    time. A tie between two texts of one id goes to the lesser key. Other columns are never read. An empty table gives no
+    rows.
     """
     prints = durable(fingerprint_table(docs, id_col, text_col, k))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     groups = connected_components(links(distinct.select("fp"), threshold)).toDF("fp", "root")
-    rooted = distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(groups, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # one row per distinct fingerprint on the right; AQE splits a fingerprint that a third of all rows share
-    return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    told = durable(rooted.join(smallest, "root").select("fp", "n", "component_id"))
+    return attached(prints, told, ["fp"]).select("doc_id", "text_key", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
-    """The documents that are the least of their component, with all their columns; rows with a null id are kept.
+    """One document of each component, the one with the least id, with all its columns; rows with a null id are kept.
 
-    Repeated rows of one id are reduced to one of them. ``groups`` (doc_id, component_id) replaces ``near_duplicates``.
+    Rows are told apart by id and text: of several texts of the least id in one component the one with the least key
+    stays, and of repeated rows one. ``groups`` (doc_id, text_key, component_id) replaces ``near_duplicates``.
     """
     found = (near_duplicates(docs, id_col, text_col) if groups is None else groups).where("doc_id = component_id")
-    keep = durable(found.groupBy(F.col("doc_id").alias("__kept")).count())
-    one = docs.where(F.col(f"`{id_col}`").isNotNull())
-    if not keep.where("count > 1").isEmpty():  # only then are whole rows compared by id, which costs a sort of the texts
-        one = one.dropDuplicates([id_col])
-    kept = one.join(keep.select("__kept"), F.col(f"`{id_col}`") == F.col("__kept"), "left_semi")
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    each = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    one = each.groupBy("doc_id").agg(F.min_by(F.struct("text_key", "n"), "text_key").alias("k")).select(F.col("doc_id").alias("k_id"), "k.text_key", "k.n")
+    keep = durable(one)
+    names = docs.columns
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])  # own names, so that none can clash
+    doc, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    same = (doc == F.col("k_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_key"))
+    kept = own.join(keep.where("n = 1"), same, "left_semi")
+    if not keep.where("n > 1").isEmpty():  # only repeated rows are compared whole
+        kept = kept.unionByName(own.join(keep.where("n > 1"), same, "left_semi").dropDuplicates([f"c{names.index(id_col)}"]))
+    return kept.unionByName(own.where(doc.isNull())).toDF(*names)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

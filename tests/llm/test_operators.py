@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stepweave.llm import ann, decontaminate, hmm, language_id, secrets, simhash, suffix_dedup, url_filter
+from stepweave.llm import ann, decontaminate, hmm, language_id, near_dup, secrets, simhash, suffix_dedup, url_filter
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, spans string, rid string"
@@ -85,11 +85,23 @@ def test_anchors_cover_every_close_pair(spark, threshold, block):
 
 def test_deduplicated_keeps_columns_and_one_of_each_group(spark):
     docs = table(spark, corpus()).unionByName(table(spark, ["solo words here now please"]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(table(spark, corpus()).where("doc_id < 3"))
+    docs = docs.withColumn("__kept", F.lit(1)).withColumn("component_id", F.lit("clash"))
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
     got = [r.doc_id for r in kept.collect()]
     want = set(components([fingerprint(t) for t in corpus()], range(len(corpus())), 4))
     assert len(got) == len(set(got)) and set(got) == want | {None}
+    assert simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_deduplicated_tells_rows_of_one_id_apart(spark):
+    r = random.Random(6)
+    a, b, c = (" ".join(f"{x}{r.randint(0, 999)}" for _ in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, c.upper()), (8, c + " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for found in (simhash.deduplicated(docs), simhash.deduplicated(docs, groups=near_dup.near_copies(docs))):
+        got = sorted((x.doc_id, x.text.lower()) for x in found.collect())
+        assert got == [(1, a), (5, b), (7, c)]
 
 
 def test_decontamination_against_windows(spark):
@@ -148,6 +160,19 @@ def test_secrets_base_and_ownership(spark):
     assert secrets.secrets(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("marks", [200_000, 0])
+def test_secrets_of_repositories_and_owners(spark, monkeypatch, marks):
+    monkeypatch.setattr(secrets, "MARKS", marks)
+    values = [f"Aq{k}WsEdRfTgYhUj9xZcVb{k}" for k in range(4)]
+    holders = [(0, "o1", f"r{k}") for k in range(9)] + [(1, f"o{k % 2}", f"r{k}") for k in range(6)] + [(2, f"o{k}", f"r{k}") for k in range(2)] + [(3, f"o{k}", "r") for k in range(3)]
+    rows = [(k if k % 4 else None, f"key {values[v]} end", owner, repo, "c", "c") for k, (v, owner, repo) in enumerate(holders)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string, spans string, __key string")
+    live = {r.text.split()[1] for r in docs.collect()} - {r.text.split()[1] for r in secrets.redacted(docs, owner_col="owner", repo_col="repo").collect()}
+    assert live == {values[0], values[2]}  # one owner however many repositories; two owners of two repositories, not of six
+    assert secrets.redacted(docs, owner_col="owner", repo_col="repo").columns == docs.columns and secrets.redacted(docs, owner_col="owner", repo_col="repo").count() == len(rows)
+    assert secrets.secrets(docs.limit(0), owner_col="owner", repo_col="repo").count() == 0
+
+
 def test_url_filter_rules_and_oracle(spark):
     urls = [None, "", "no scheme", "http://A.com", "http://a.COM/", "x://www.example.com/en/1?q=://b.net/es/", "https://sub.example.com/en/x#f", "http://example.com/EN/", "http://n.net/es/1/2/3/4/5", "http://n.net/fr", "http://net/fr/a.HTML", "//x", "http://notexample.com/en/a", "http://q.org/es/77", "http:///path", "a://b://c.com/x"]
     pages = spark.createDataFrame([(k % 16, u, "x", "clash") for k, u in enumerate(urls * 2)] + [(None, "http://n.net/es/q/r/s/t/u", None, None)], "page_id long, url string, html string, host string")
