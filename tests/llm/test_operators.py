@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -229,6 +230,47 @@ def test_language_id_edges(spark):
     assert language_id.accepted(docs).columns == docs.columns
 
 
+def gram_counts(text):
+    raw, found = b" " + (text or "").encode().translate(language_id.LETTERS) + b" ", np.zeros(language_id.DIM, np.int64)
+    for n in (2, 3):
+        for k in range(len(raw) - n + 1):
+            if raw[k : k + n].strip(b" "):
+                found[(int.from_bytes(raw[k : k + n], "big") * 2654435761 & 0xFFFFFFFF) >> 19] += 1
+    return found
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 256, 7])
+def test_language_id_against_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    r = random.Random(piece)
+    texts = [None, "", "a", " ", "é!", "12", "the cat  sat"] + ["".join(r.choice("abc é.") for _ in range(n)) for n in (1, 2, 3, 6, 7, 8, 255, 256, 257, 511, 513, 700)]
+    want = np.stack([gram_counts(t) for t in texts])
+    assert (np.concatenate(list(language_id.counts(pa.array(texts, pa.string())))) == want).all()
+    docs = table(spark, texts + ["the dog ran in and out"] * 9 + ["el perro y la casa"] * 9, langs=["en"] * len(texts) + ["en"] * 9 + ["es"] * 9)
+    docs = docs.withColumn("letter", F.lit("clash")).unionByName(docs.withColumn("letter", F.lit("clash")).where("doc_id > 8")).unionByName(table(spark, ["the cat"]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("letter", F.lit("x")))
+    model = language_id.trained(docs)
+    rows = language_id.identified(docs, model).collect()
+    assert len(rows) == docs.count() and language_id.accepted(docs.withColumn("c1", F.lit(1)), model=model).columns == [*docs.columns, "c1"]
+    for x in rows:
+        text = "the cat" if x.doc_id is None else (texts + ["the dog ran in and out"] * 9 + ["el perro y la casa"] * 9)[x.doc_id]
+        v = np.sqrt(gram_counts(text)) * model.idf
+        cosine = model.centroids @ v / max(np.linalg.norm(v), 1e-12)
+        has = any(c.isalpha() for c in text or "")
+        assert math.isclose(x.score, cosine.max() if has else 0.0, abs_tol=1e-5)
+        assert x.lang_pred == (model.languages[cosine.argmax()] if has else "und") or np.ptp(np.sort(cosine)[-2:]) < 1e-5
+
+
+def test_short_clean_texts_stay_and_junk_goes(spark, sf_dir):
+    import base64
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    junk = [base64.b64encode(random.Random(k).randbytes(3000)).decode() for k in range(5)] + ["qxz wvk zzjq " * 60]
+    clean = ["A.", "The", "Ja", "el", "the of and", "the and of in was that it"]
+    own = table(spark, clean + junk)
+    kept = {x.doc_id for x in language_id.accepted(own, model=language_id.trained(docs)).collect()}
+    assert kept == set(range(len(clean)))
+
+
 def test_hmm_counts_and_likelihood(spark):
     texts = corpus(2, 40)
     got = {r.doc_id: r for r in hmm.scores(table(spark, texts)).collect()}
