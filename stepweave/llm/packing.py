@@ -5,19 +5,24 @@ Pieces are split by a hash into groups of about ``GROUP_PIECES``, so a group is
 corpus is, and each group is packed on its own: best fit over descending lengths, then local search between the
 underfull bins. A group leaves at most a few bins short of full, against ten thousands of full ones.
 
-Local search raises the sum of squared fills. Between underfull bins it moves a piece, swaps one for one or two for one
-whenever that makes the fuller bin fuller still; a bin that loses all its pieces is gone. Every accepted step strictly
-raises an integer bounded by bins * size^2, so it ends; ``SEARCH_STEPS`` bounds it per group besides, and the
-packing is complete and valid at every step.
-
-Rows: null text is empty, i.e. the end id alone; repeated rows and null ids are packed like any others; an empty table
-gives no rows. A document of exactly ``size`` ids is one piece.
+Local search raises the sum of squared fills. The emptiest bin gives to fuller ones: it moves pieces, or exchanges one for
+one, two for one or one for two, always the exchange that fills its partner by most; a bin that loses all its pieces is
+gone. Partners are found by the lengths they hold, not by trial: for every length and every sum of two lengths, the
+bin with the most room that holds it is known, so an exchange is found, or ruled out, at once. Every step raises an integer
+bounded by bins * size^2, so the search ends by itself, and it stops early only where no further bin can be emptied: at the
+least number of bins that the lengths allow, or when the other bins' room is less than the emptiest one's fill.
+
+Rows: null text is empty, i.e. the end id alone; repeated rows and null ids are packed like any others; a document of
+exactly ``size`` ids is one piece, and a very long text any number of them; pieces of one length are alike, so ties don't
+matter; other columns, whatever their names, are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,6 @@ from stepweave.plans.durable import durable
 SIZE = 2048
 END_ID = 0
 GROUP_PIECES = 200_000
-SEARCH_STEPS = 20_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,76 +84,128 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def _step(a: list[int], b: list[int], length: list[int], room_a: int) -> bool:
-    """One change between two bins that fills ``a``, the fuller one, further: move, one for one, or two for one."""
-    best, what = 0, None
-    pool = sorted({length[x]: x for x in b}.items())
-    sizes = [x for x, _ in pool]
-    k = bisect.bisect_right(sizes, room_a)
-    if k:
-        best, what = sizes[k - 1], ((), (pool[k - 1][1],))
-    if best < room_a:
-        singles = sorted({length[x]: x for x in a}.items())
-        for out, x in singles:  # one for one: a longer one comes in
-            k = bisect.bisect_right(sizes, room_a + out)
-            if k and sizes[k - 1] - out > best:
-                best, what = sizes[k - 1] - out, ((x,), (pool[k - 1][1],))
-        pairs = [((p, q), length[p] + length[q]) for i, p in enumerate(b) for q in b[i + 1 :]]
-        for out, x in singles:  # two for one, either way round
-            for pair, both in pairs:
-                if best < both - out <= room_a:
-                    best, what = both - out, ((x,), pair)
-        outs = [((p, q), length[p] + length[q]) for i, p in enumerate(a) for q in a[i + 1 :]]
-        for pair, both in outs:
-            k = bisect.bisect_right(sizes, room_a + both)
-            if k and sizes[k - 1] - both > best:
-                best, what = sizes[k - 1] - both, (pair, (pool[k - 1][1],))
-    if not what:
-        return False
-    for x in what[0]:
-        a.remove(x)
-        b.append(x)
-    for x in what[1]:
-        b.remove(x)
-        a.append(x)
-    return True
-
-
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
-    """Exchange items between underfull bins until none gains or ``steps`` pairs of bins were tried.
-
-    Pairs are tried fullest with emptiest, so the emptiest bin drains into the others; it is dropped when empty.
+class Open:
+    """The underfull bins that can take more: items by length, and the roomiest bin that holds each length or sum of two."""
+
+    def __init__(self, bins: dict[int, dict[int, list[int]]], room: dict[int, int], size: int):
+        self.bins, self.room, self.size = bins, room, size
+        self.clock, self.stamp = 0, dict.fromkeys(bins, 0)  # what entries of an earlier state are told by
+        self.heaps: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        self.most = np.full((2, size + 1), -1, np.int64)  # room by single length (0: of any bin) and by sum of two
+        for b in bins:
+            self._enter(b)
+        for which, heaps in enumerate(self.heaps):
+            self._settle(which, heaps)
+
+    def sums(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different lengths in a bin, and the different sums of two of its items."""
+        own = np.array(sorted(self.bins[b]), np.int64)
+        twice = own[[len(self.bins[b][x]) > 1 for x in own.tolist()]] * 2 if len(own) else own
+        two = (own[:, None] + own[None, :])[np.triu_indices(len(own), 1)]
+        return own, np.unique(np.concatenate([two, twice]))
+
+    def _enter(self, b: int) -> None:
+        one, two = self.sums(b)
+        for heaps, keys in zip(self.heaps, ([0, *one.tolist()], two.tolist())):
+            for key in keys:
+                heapq.heappush(heaps[key], (-self.room[b], b, self.stamp[b]))
+
+    def _settle(self, which: int, keys) -> None:
+        for key in keys:
+            heap = self.heaps[which][key]
+            while heap and self.stamp.get(heap[0][1]) != heap[0][2]:
+                heapq.heappop(heap)
+            self.most[which, key] = -heap[0][0] if heap else -1
+
+    def leave(self, b: int) -> None:
+        one, two = self.sums(b)
+        self.stamp.pop(b)
+        self._settle(0, [0, *one.tolist()])
+        self._settle(1, two.tolist())
+
+    def best(self, b: int) -> tuple[int, int, int, int] | None:
+        """(partner, which of its sums, that sum, what comes in for it) for the giver ``b``, by the largest gain."""
+        one, two = self.sums(b)
+        found, gain = None, 0
+        for which, coming in ((0, np.union1d(one, two)), (1, one)):
+            going = np.flatnonzero(self.most[which] > 0)
+            if not len(going) or not len(coming):
+                continue
+            k = np.searchsorted(coming, going + self.most[which, going], "right") - 1
+            gains = np.where(k >= 0, coming[k] - going, 0)
+            top = int(gains.argmax())
+            if gains[top] > gain:
+                gain = int(gains[top])
+                out = int(going[top])
+                found = self.heaps[which][out][0][1], which, out, int(coming[k[top]])
+        return found
+
+    def _take(self, b: int, total: int, one: bool) -> list[int]:
+        """Remove one item, or two, of that length together."""
+        held = self.bins[b]
+        pair = (total,) if one else next((x, total - x) for x in held if total - x in held and (total != 2 * x or len(held[x]) > 1))
+        out = []
+        for x in pair:
+            out.append(held[x].pop())
+            if not held[x]:
+                del held[x]
+        return out
+
+    def exchange(self, giver: int, partner: int, which: int, going: int, coming: int, length: list[int]) -> None:
+        self.leave(partner)
+        back = self._take(partner, going, which == 0) if going else []
+        came = self._take(giver, coming, coming in self.bins[giver])
+        for b, items in ((giver, back), (partner, came)):
+            for x in items:
+                self.bins[b].setdefault(length[x], []).append(x)
+        self.room[partner] -= coming - going
+        self.room[giver] += coming - going
+        if self.room[partner]:
+            self.clock += 1
+            self.stamp[partner] = self.clock
+            self._enter(partner)
+            one, two = self.sums(partner)
+            self._settle(0, [0, *one.tolist()])
+            self._settle(1, two.tolist())
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Exchange items between underfull bins until no further bin can be emptied.
+
+    The emptiest bin drains into the others; it is dropped when empty, and set aside when no exchange is left.
     """
     length = lengths.tolist()
-    full, open_ = [], []
-    for items in bins:
-        used = sum(length[x] for x in items)
-        (full if used == size else open_).append(items)
-    ranked = sorted(((sum(length[x] for x in items), k) for k, items in enumerate(open_)), reverse=True)
-    done = set()
-    while len(ranked) > 1 and steps > 0:
-        low = ranked[-1][1]
-        gained = False
-        for at, (used, k) in enumerate(ranked[:-1]):
-            steps -= 1
-            if steps <= 0:
-                break
-            if (mark := (k, used, low, ranked[-1][0])) in done:
-                continue
-            if _step(open_[k], open_[low], length, size - used):
-                gained = True
-                used_k, used_low = sum(length[x] for x in open_[k]), sum(length[x] for x in open_[low])
-                ranked = [r for r in ranked if r[1] not in (k, low)]
-                if used_k < size:
-                    ranked.append((used_k, k))
-                if used_low:
-                    ranked.append((used_low, low))
-                ranked.sort(reverse=True)
-                break
-            done.add(mark)
-        if not gained:
-            ranked.pop()  # nothing more to take from this bin
-    return full + [items for items in open_ if items]
+    used = [sum(length[x] for x in items) for items in bins]
+    least = -(-sum(used) // size)
+    held: dict[int, dict[int, list[int]]] = {}
+    for b, items in enumerate(bins):
+        if used[b] < size:
+            held[b] = {}
+            for x in items:
+                held[b].setdefault(length[x], []).append(x)
+    count, free = len(bins), {b: size - used[b] for b in held}
+    if count == least:
+        return bins
+    open_ = Open(held, free, size)
+    order = sorted((used[b], b) for b in held)
+    spare = sum(free.values())
+    while count > least and len(open_.stamp) > 1:
+        fill, low = heapq.heappop(order)
+        if low not in open_.stamp:
+            continue
+        if fill != size - free[low]:  # it was filled further
+            heapq.heappush(order, (size - free[low], low))
+            continue
+        spare -= free[low]
+        if spare < fill:
+            break
+        open_.leave(low)
+        while held[low] and (change := open_.best(low)):
+            partner, which, going, coming = change
+            open_.exchange(low, partner, which, going, coming, length)
+            spare -= coming - going
+        count -= not held[low]
+    return [items for b, items in enumerate(bins) if b not in held] + [[x for own in by.values() for x in own] for by in held.values() if by]
 
 
 def pack(parts: DataFrame, size: int = SIZE, group_pieces: int = GROUP_PIECES) -> DataFrame:

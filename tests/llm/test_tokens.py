@@ -100,3 +100,42 @@ def test_local_search_never_worsens(seed):
 def test_swaps_empty_a_bin():
     lengths = np.array([6, 3, 5, 4, 1, 1])  # in threes of ten: 6+3, 5+4, 1+1 fits in two bins
     assert len(packing.local_search([[0, 1], [2, 3], [4, 5]], lengths, 10)) == 2
+
+
+def fewest(lengths, size):
+    """The least number of bins, by trying all placements up to symmetry."""
+    order, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(order):
+            best[0] = len(rooms)
+            return
+        for b in range(len(rooms)):
+            if rooms[b] >= order[k] and rooms[b] not in rooms[:b]:
+                place(k + 1, [*rooms[:b], rooms[b] - order[k], *rooms[b + 1 :]])
+        place(k + 1, [*rooms, size - order[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_of_few_pieces_is_nearly_always_the_least():
+    r, least, got = random.Random(1), 0, 0
+    for _ in range(120):
+        lengths = np.array([r.randint(1, 30) for _ in range(r.randint(1, 11))])
+        bins = packing.local_search(packing.best_fit(lengths, 40), lengths, 40)
+        assert sorted(x for items in bins for x in items) == list(range(len(lengths))) and all(lengths[i].sum() <= 40 for i in bins)
+        least, got = least + fewest(lengths.tolist(), 40), got + len(bins)
+    assert got <= 1.005 * least
+
+
+@pytest.mark.parametrize("lengths", [[3] * 20_000, [0] * 5, [1025] * 3000, [*range(1, 60)] * 300, [700, 650, 690] * 2000])
+def test_search_ends_soon_on_like_pieces(lengths):
+    import time
+
+    lengths = np.array(lengths)
+    start = time.time()
+    bins = packing.local_search(packing.best_fit(lengths, 2048), lengths, 2048)
+    assert time.time() - start < 20 and sorted(x for items in bins for x in items) == list(range(len(lengths)))
