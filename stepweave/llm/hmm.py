@@ -6,16 +6,19 @@ over all texts, and every distinct training word counts, however many there are:
 (``CLASSES``, a hash of a word's first two and last three bytes), not the vocabulary.
 
 *Training.* Word counts are pre-aggregated per task, then summed by word. States start from Baum-Welch on a bounded
-sample (about ``START_DOCS`` training texts); then ``ROUNDS`` rounds of Baum-Welch go over all training texts, each task
-emitting expected counts that are summed across partitions by (state, class). Long texts are trained on in segments of
-``SEGMENT`` classes, all of them.
+sample (the ``START_DOCS`` training texts whose ids hash lowest); then rounds of Baum-Welch go over all training texts, each
+task emitting expected counts that are summed across partitions by (state, class), until a round gains less than
+``GAIN`` nats a token, ``ROUNDS`` at most. Long texts are trained on in segments of ``SEGMENT`` transitions, all of them;
+neighbouring segments share a token, so that no transition is lost, and its emission counts once.
 
 *Scoring.* The scaled forward recursion runs over each whole text, longest texts first in a batch with the active ones
 as a shrinking prefix. The counts of words come in two ways: the ``HEAD`` most frequent words are broadcast, all other
 tokens are joined with the count table by word; such a word holds at most one in ``HEAD`` of all tokens, so no key is hot.
 
 Rows: null text is empty, i.e. the end symbol alone; null ids count as not held out but are not learnt from; repeated
-rows each get their row (and train repeatedly); without training texts all counts are zero; an empty table gives none.
+rows each get their row (and train repeatedly); very long texts are scored whole; words of one count are alike, so ties don't
+matter; other columns, whatever their names, are never read; without training texts all counts are zero; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +35,11 @@ from pyspark.sql import functions as F
 from stepweave.llm.common import LOWER, load, picked, slices, text_bytes, words_of
 from stepweave.plans.durable import durable, fresh_path
 
-CLASSES, STATES, ROUNDS, SEGMENT = 4096, 8, 3, 256
-START_DOCS, START_ROUNDS = 400, 25
+CLASSES, STATES, SEGMENT = 4096, 8, 256
+ROUNDS, GAIN = 12, 0.002
+START_DOCS, START_ROUNDS = 400, 12
+#: Longer ones (bytes of classes, two a word) are no part of the starting sample, which is on the driver.
+START_BYTES = 1 << 17
 HEAD = 1 << 18
 FLUSH = 400_000
 END = CLASSES  # the end symbol's class
@@ -89,8 +95,11 @@ def forward(model: States, table: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return total
 
 
-def expected(model: States, table: np.ndarray, lengths: np.ndarray, heads: np.ndarray) -> States:
-    """Baum-Welch counts of padded sequences; ``heads`` marks those that begin a text."""
+def expected(model: States, table: np.ndarray, lengths: np.ndarray, heads: np.ndarray) -> tuple[States, float]:
+    """Baum-Welch counts and log-likelihood of padded segments; ``heads`` marks those that begin a text.
+
+    Any other one's first symbol is the last of the segment before it: it leads into a transition, and counts there.
+    """
     width, count = table.shape[1], model.start.size
     active = np.searchsorted(-lengths, -np.arange(width), "left")
     alpha, scale = np.zeros((width, len(table), count)), np.ones((width, len(table)))
@@ -113,23 +122,24 @@ def expected(model: States, table: np.ndarray, lengths: np.ndarray, heads: np.nd
         gamma[t, :n] *= beta[:n]
         first = gamma[t]
     held = np.arange(width)[:, None] < lengths[None, :]
+    held[0] &= heads
     symbols, weight = table.T[held], gamma[held]
     emit = np.stack([np.bincount(symbols, weight[:, k], CLASSES + 1) for k in range(count)], axis=1)
-    return States(first[heads].sum(axis=0), move * model.move, emit)
+    return States(first[heads].sum(axis=0), move * model.move, emit), float(np.log(scale[held]).sum())
 
 
 def segments(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [(s[a : a + SEGMENT], a == 0) for s in sequences for a in range(0, len(s), SEGMENT)]
+    parts = [(s[a : a + SEGMENT + 1], a == 0) for s in sequences for a in range(0, max(1, len(s) - 1), SEGMENT)]
     return [p for p, _ in parts], np.array([h for _, h in parts], bool)
 
 
-def counted(model: States, sequences: list[np.ndarray]) -> States:
+def counted(model: States, sequences: list[np.ndarray]) -> tuple[States, float]:
     parts, heads = segments(sequences)
-    total = States(*(np.zeros_like(x) for x in (model.start, model.move, model.emit)))
+    total, likely = States(*(np.zeros_like(x) for x in (model.start, model.move, model.emit))), 0.0
     for take, table, lengths in blocks(parts):
-        own = expected(model, table, lengths, heads[take])
-        total = States(total.start + own.start, total.move + own.move, total.emit + own.emit)
-    return total
+        own, log = expected(model, table, lengths, heads[take])
+        total, likely = States(total.start + own.start, total.move + own.move, total.emit + own.emit), likely + log
+    return total, likely
 
 
 def maximised(counts: States, share: np.ndarray) -> States:
@@ -146,7 +156,7 @@ def initial(sequences: list[np.ndarray], share: np.ndarray, seed: int = 3) -> St
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
     model = States(np.full(STATES, 1.0 / STATES), move, emit / emit.sum(axis=0))
     for _ in range(START_ROUNDS if sequences else 0):
-        model = maximised(counted(model, sequences), share)
+        model = maximised(counted(model, sequences)[0], share)
     return model
 
 
@@ -227,24 +237,24 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.append(np.frombuffer(x, np.int16), np.int16(END)) for x in column.to_pylist()]
 
 
-def baum_welch(table: DataFrame, model: States, share: np.ndarray) -> States:
-    """One round over all training texts; counts are summed across partitions by cell."""
+def baum_welch(table: DataFrame, model: States, share: np.ndarray) -> tuple[States, float]:
+    """One round over all training texts, and the log-likelihood before it; counts are summed across partitions by cell."""
     size = STATES * (CLASSES + 1 + STATES + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = np.zeros(size + 1)
         for batch in batches:
             for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
-                own = counted(model, _sequences(part.column("classes")))
-                total += np.concatenate([own.start, own.move.ravel(), own.emit.ravel()])
+                own, log = counted(model, _sequences(part.column("classes")))
+                total += np.concatenate([own.start, own.move.ravel(), own.emit.ravel(), [log]])
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "value"])
 
     got = table.where("train").select("classes").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    total = np.zeros(size)
+    total = np.zeros(size + 1)
     total[got.column("cell").to_numpy()] = got.column("value").to_numpy()
     k = STATES
-    return maximised(States(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(-1, k)), share)
+    return maximised(States(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : size].reshape(-1, k)), share), float(total[size])
 
 
 def class_totals(counts: DataFrame, ends: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,11 +293,17 @@ def scores(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id
     encoded(rows.withColumn("rid", F.monotonically_increasing_id()), head).write.option("compression", "zstd").parquet(path)
     table = spark.read.parquet(path)
     share = (tokens + 0.5) / (tokens.sum() + 0.5 * len(tokens))
-    part = min(1.0, START_DOCS / max(1, ends))
-    drawn = table.where("train").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000).select("doc_id", "classes").limit(2 * START_DOCS).toArrow().sort_by("doc_id")
+    part = min(1.0, 4 * START_DOCS / max(1, ends))  # enough for START_DOCS, so that few rows are ranked
+    order = F.xxhash64("doc_id")
+    drawn = table.where("train").where(F.pmod(order, F.lit(1 << 50)) < part * (1 << 50)).select("doc_id", "classes", F.length("classes").alias("size"))
+    drawn = drawn.orderBy(F.pmod(order, F.lit(1 << 50)), "doc_id", "classes").limit(START_DOCS).where(F.col("size") <= START_BYTES).toArrow()
     model = initial(_sequences(drawn.column("classes")), share)
+    before = None
     for _ in range(ROUNDS if ends else 0):
-        model = baum_welch(table, model, share)
+        model, likely = baum_welch(table, model, share)
+        if before is not None and likely - before < GAIN * total:
+            break
+        before = likely
 
     smoothed = np.log10(tokens + 0.5 * (words + 1))
     end_log, base_log = float(np.log10(ends + 0.5)), float(np.log10(total + 0.5 * (distinct + 1)))

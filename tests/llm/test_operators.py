@@ -271,18 +271,45 @@ def test_short_clean_texts_stay_and_junk_goes(spark, sf_dir):
     assert kept == set(range(len(clean)))
 
 
-def test_hmm_counts_and_likelihood(spark):
-    texts = corpus(2, 40)
-    got = {r.doc_id: r for r in hmm.scores(table(spark, texts)).collect()}
+def test_hmm_counts_and_likelihood(spark, monkeypatch):
+    fitted, real = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *a: fitted.append(real(*a)) or fitted[-1])
+    texts = corpus(2, 40) + ["word " * 700 + "other"]
+    docs = table(spark, texts).withColumn("classes", F.lit("clash"))
+    docs = docs.unionByName(docs.where("doc_id in (3, 7)")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = hmm.scores(docs).collect()
+    assert len(rows) == len(texts) + 3
     words = [re.findall(r"[^\x20\x09-\x0D]+", low(t)) + [None] for t in texts]
-    c = Counter(w for k, ws in enumerate(words) if zlib.crc32(str(k).encode()) % 5 != 1 for w in ws)
+    train = [ws for k, ws in enumerate(words) for _ in range(1 + (k in (3, 7))) if zlib.crc32(str(k).encode()) % 5 != 1]
+    c = Counter(w for ws in train for w in ws)
     total, norm = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
-    for k, ws in enumerate(words):
-        r = got[k]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(k).encode()) % 5 == 1, len(ws), sum(c[w] > 0 for w in ws), total)
+    kind = lambda w: hmm.END if w is None else int(hmm.classes_of(pa.array([w]))[0])
+    tokens, distinct = Counter(), Counter()
+    for w, n in c.items():
+        tokens[kind(w)] += n
+        distinct[kind(w)] += 1
+    model = fitted[-1][0]
+    for r in rows:
+        ws = words[5 if r.doc_id is None else r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1, len(ws), sum(c[w] > 0 for w in ws), total)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / norm) for w in ws), rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
-    assert hmm.scores(table(spark, ["a"]).limit(0)).count() == 0
+        classes = [kind(w) for w in ws]
+        alpha, log = model.start * model.emit[classes[0]], 0.0
+        for k in classes[1:]:
+            log += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum() @ model.move * model.emit[k]
+        log += math.log10(alpha.sum()) + sum(math.log10((c[w] + 0.5) / (tokens[k] + 0.5 * (distinct[k] + 1))) for w, k in zip(ws, classes))
+        assert math.isclose(r.score, log, rel_tol=1e-9)
+    assert [r for r in hmm.scores(docs).collect()] and hmm.scores(table(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_no_transition_is_lost_between_segments(monkeypatch):
+    monkeypatch.setattr(hmm, "SEGMENT", 3)
+    r = np.random.default_rng(2)
+    model = hmm.States(r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(hmm.CLASSES + 1), 3).T)
+    seqs = [r.integers(0, 9, n).astype(np.int16) for n in (1, 2, 3, 4, 5, 9, 10, 31)]
+    counts, _ = hmm.counted(model, seqs)
+    assert math.isclose(counts.move.sum(), sum(len(s) - 1 for s in seqs)) and math.isclose(counts.emit.sum(), sum(map(len, seqs))) and math.isclose(counts.start.sum(), len(seqs))
 
 
 def test_forward_is_the_sum_over_paths_and_training_gains():
@@ -296,10 +323,11 @@ def test_forward_is_the_sum_over_paths_and_training_gains():
     for k, value in zip(take, got):
         p = sum(model.start[z[0]] * model.emit[seqs[k][0], z[0]] * math.prod(model.move[a, b] * model.emit[o, b] for a, b, o in zip(z, z[1:], seqs[k][1:])) for z in product(range(2), repeat=len(seqs[k])))
         assert math.isclose(value, math.log(p), rel_tol=1e-9)
-    counts = hmm.counted(model, seqs)
+    counts, likely = hmm.counted(model, seqs)
+    assert math.isclose(likely, sum(hmm.forward(model, s, n).sum() for _, s, n in hmm.blocks(seqs)))
     assert math.isclose(counts.emit.sum(), sum(map(len, seqs))) and math.isclose(counts.start.sum(), len(seqs))
     share = np.full(hmm.CLASSES + 1, 1e-9)
-    step = lambda m: hmm.States(*(x / x.sum(axis=a, keepdims=True) for x, a in ((lambda c: ((c.start, 0), (c.move, 1), (c.emit, 0)))(hmm.counted(m, seqs)))))
+    step = lambda m: hmm.States(*(x / x.sum(axis=a, keepdims=True) for x, a in ((lambda c: ((c.start, 0), (c.move, 1), (c.emit, 0)))(hmm.counted(m, seqs)[0]))))
     loglik = lambda m: sum(hmm.forward(m, s, n).sum() for _, s, n in hmm.blocks(seqs))
     assert loglik(step(model)) >= loglik(model) and share.sum() > 0
 
