@@ -4,9 +4,11 @@
 inner product is then the least distance, so distances steer everything while scores are inner products of the
 original vectors in double precision.
 
-*Lists.* Centroids come from k-means on a bounded sample (``SAMPLE`` vectors, about ``LIST`` vectors a list, at most
-``CENTROIDS`` lists), so they, and the k-nearest-neighbour graph that is walked to search them, fit in memory whatever the
-data. Every vector is indexed: in its nearest list, and as a boundary vector in up to ``COPIES`` lists whose centroid is at
+*Lists.* Centroids come from k-means on a bounded sample, about one for ``LIST`` vectors of the table, so lists stay of one
+size while the table grows, up to ``CENTROIDS`` lists; ``SAMPLE`` vectors are drawn, or ``SAMPLE_EACH`` a centroid if that is
+more. Many centroids are trained in two steps, within the clusters of a first k-means. They, and the graph that is walked
+to search them (each one's nearest others, entered near the query by the clusters' centres), fit in memory: ``CENTROIDS`` bounds
+both. Every vector is indexed: in its nearest list, and as a boundary vector in up to ``COPIES`` lists whose centroid is at
 most ``BOUNDARY`` times as far. Lists are balanced by dealing long ones into blocks of about ``BLOCK`` vectors.
 
 *Search.* A query walks the graph to its nearest centroids and takes those at most ``PROBE_RATIO`` times as far as the
@@ -17,7 +19,8 @@ gives its best k a query (all ties kept until the final cut), merged per query.
 
 Rows: vectors that are null, zero, of another size than most, or that hold null or non-finite components take no part,
 as queries or candidates; rows with a null id neither. Of rows with one id the index holds each distinct vector;
-a query's own id is never its result. An empty table gives no rows.
+a query's own id is never its result. Equal scores go by the smaller id. Other columns, whatever their names, are never
+read, texts among them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,19 +36,22 @@ from pyspark.sql import functions as F
 from stepweave.llm.common import load, picked
 from stepweave.plans.durable import durable
 
-SAMPLE, LIST, CENTROIDS = 20_000, 200, 4096
+SAMPLE, SAMPLE_EACH, LIST, CENTROIDS = 20_000, 4, 200, 1 << 18
+#: Up to so many centroids all are compared instead of walked to; up to so many are trained, and their graph built, in one step.
+DIRECT, ONE_STEP = 64, 2048
 COPIES, BOUNDARY = 4, 1.15
 PROBE_LEAST, PROBE_MOST, PROBE_RATIO = 12, 48, 1.35
 RECALL, CALIBRATE, GROW = 0.9, 256, 1.25
 BLOCK, QUERY_BLOCK = 4000, 1000
-NEIGHBOURS, BEAM = 24, 96
+NEIGHBOURS, BEAM, ENTRIES, AROUND = 32, 48, 8, 24
 
 
 @dataclass
 class Centroids:
     points: np.ndarray  # in the augmented space
     graph: np.ndarray  # nearest other centroids of each
-    entries: np.ndarray
+    centres: np.ndarray  # of the clusters of centroids
+    entries: np.ndarray  # the centroid nearest to each centre
     longest: float  # M
 
     def augmented(self, x: np.ndarray) -> np.ndarray:
@@ -55,78 +61,123 @@ class Centroids:
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroid numbers, squared distances) of the nearest k by a best-first walk on the graph, nearest first.
 
-        Where the walk would see most centroids anyway, all are compared.
+        Where the walk would see most centroids anyway, or they are few, all are compared.
         """
-        n, count = len(x), len(self.points)
+        count = len(self.points)
         k = min(k, count)
-        if 8 * k > count and k > COPIES:
-            dist = np.maximum(_sq(x, self.points), 0.0)
-            order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            return order, np.take_along_axis(dist, order, 1)
+        if count <= DIRECT or 8 * k > count:
+            parts = [_least(_sq(x[a : a + 500], self.points), k) for a in range(0, len(x), 500)]
+        else:
+            step = max(1, (32 << 20) // count)  # what has been seen is a flag a row and centroid
+            parts = [self._walk(x[a : a + step], k) for a in range(0, len(x), step)]
+        return np.concatenate([i for i, _ in parts]), np.maximum(np.concatenate([d for _, d in parts]), 0.0)
+
+    def _walk(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n, count = len(x), len(self.points)
         square = np.einsum("ij,ij->i", self.points, self.points)
-        far = lambda rows, c: np.maximum(square[c] - 2 * np.einsum("ij,ikj->ik", x[rows], self.points[c]), -1e300)
+        own = np.einsum("ij,ij->i", x, x)
+        far = lambda rows, c: square[c] - 2 * np.einsum("ij,ikj->ik", x[rows], self.points[c]) + own[rows, None]
         beam = min(max(BEAM, 2 * k), count)
-        start = np.broadcast_to(self.entries, (n, len(self.entries)))
+        start, _ = _least(_sq(x, self.centres), min(ENTRIES, len(self.centres)))
+        ids = np.full((n, beam), -1)
+        dist = np.full((n, beam), np.inf)
+        first = self.entries[start]
+        ids[:, : first.shape[1]], dist[:, : first.shape[1]] = first, far(np.arange(n), first)
+        order = np.argsort(dist, axis=1, kind="stable")
+        ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+        waits = np.isfinite(dist)  # in the beam and not expanded
+        seen = np.zeros((n, count), bool)
+        np.put_along_axis(seen, first, True, 1)
         rows = np.arange(n)
-        ids, dist = start.copy(), far(rows, start)
-        seen, done = np.zeros((n, count), bool), np.zeros((n, count), bool)
-        np.put_along_axis(seen, ids, True, 1)
-        while True:
-            order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-            ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-            open_ = ~np.take_along_axis(done, ids, 1) & np.isfinite(dist)
-            active = np.flatnonzero(open_.any(axis=1))
-            if not len(active):
-                break
+        while len(rows):
             # the nearest four unexpanded ones of each row
-            take = np.argsort(~open_[active], axis=1, kind="stable")[:, :4]
-            chosen = np.take_along_axis(ids[active], take, 1)
-            real = np.take_along_axis(open_[active], take, 1)
-            r, c = np.nonzero(real)
-            done[active[r], chosen[r, c]] = True
-            fresh = self.graph[chosen].reshape(len(active), -1)
-            known = seen[active[:, None], fresh] | ~np.repeat(real, self.graph.shape[1], axis=1)
-            d = np.where(known, np.inf, far(active, fresh))
-            order = np.argsort(fresh, axis=1, kind="stable")  # one id may be reached twice
-            twice = np.zeros_like(known)
-            sorted_ids = np.take_along_axis(fresh, order, 1)
-            np.put_along_axis(twice, order[:, 1:], sorted_ids[:, 1:] == sorted_ids[:, :-1], 1)
-            d[twice] = np.inf
-            seen[active[:, None], fresh] = True
-            grown_ids, grown = np.zeros((n, fresh.shape[1]), ids.dtype), np.full((n, fresh.shape[1]), np.inf)
-            grown_ids[active], grown[active] = fresh, d
-            ids, dist = np.concatenate([ids, grown_ids], 1), np.concatenate([dist, grown], 1)
-        own = np.einsum("ij,ij->i", x, x)
-        return ids[:, :k], np.maximum(dist[:, :k] + own[:, None], 0.0)
+            take = np.argsort(~waits[rows], axis=1, kind="stable")[:, :4]
+            real = np.take_along_axis(waits[rows], take, 1)
+            waits[rows[:, None], take] = False
+            fresh = np.where(real[:, :, None], self.graph[ids[rows[:, None], take]], -1).reshape(len(rows), -1)
+            fresh.sort(axis=1)
+            twice = np.zeros(fresh.shape, bool)
+            twice[:, 1:] = fresh[:, 1:] == fresh[:, :-1]
+            new = (fresh >= 0) & ~twice & ~seen[rows[:, None], fresh]
+            r, c = np.nonzero(new)
+            seen[rows[r], fresh[r, c]] = True
+            d = np.full(fresh.shape, np.inf)
+            at, to = rows[r], fresh[r, c]
+            d[r, c] = square[to] - 2 * np.einsum("ij,ij->i", x[at], self.points[to]) + own[at]
+            all_ids, all_dist = np.concatenate([ids[rows], fresh], 1), np.concatenate([dist[rows], d], 1)
+            all_waits = np.concatenate([waits[rows], new], 1)
+            order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
+            ids[rows], dist[rows] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_dist, order, 1)
+            waits[rows] = np.take_along_axis(all_waits, order, 1) & np.isfinite(dist[rows])
+            rows = rows[waits[rows].any(axis=1)]
+        return ids[:, :k], dist[:, :k]
 
     def posted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list numbers, which of them hold the vector) of each vector."""
         near, dist = self.nearest(self.augmented(x), COPIES)
-        return near, dist <= BOUNDARY**2 * np.maximum(dist[:, :1], 1e-12)
+        return near, (near >= 0) & (dist <= BOUNDARY**2 * np.maximum(dist[:, :1], 1e-12))
 
     def probed(self, q: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """(list numbers, which of them are searched) of each query."""
         near, dist = self.nearest(np.concatenate([q, np.zeros((len(q), 1))], axis=1), most)
-        return near, (dist <= ratio**2 * np.maximum(dist[:, :1], 1e-12)) | (np.arange(near.shape[1])[None, :] < PROBE_LEAST)
+        return near, (near >= 0) & ((dist <= ratio**2 * np.maximum(dist[:, :1], 1e-12)) | (np.arange(near.shape[1])[None, :] < PROBE_LEAST))
 
 
-def train(sample: np.ndarray, total: int, longest: float, seed: int = 7) -> Centroids:
-    """K-means on the sample; the number of lists follows the table's size up to ``CENTROIDS``."""
-    holder = Centroids(np.empty((0, 0)), np.empty((0, 0), int), np.empty(0, int), longest)
-    x = holder.augmented(sample)
-    count = int(min(max(1, total // LIST), CENTROIDS, len(x)))
+def _least(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, values) of the k least of each row, in order."""
+    some = np.argpartition(dist, k - 1, axis=1)[:, :k] if k < dist.shape[1] else np.broadcast_to(np.arange(dist.shape[1]), dist.shape)
+    value = np.take_along_axis(dist, some, 1)
+    order = np.argsort(value, axis=1, kind="stable")
+    return np.take_along_axis(some, order, 1), np.take_along_axis(value, order, 1)
+
+
+def _means(x: np.ndarray, count: int, seed: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, which one each row is nearest to)."""
     points = x[np.random.default_rng(seed).permutation(len(x))[:count]].copy()
-    for _ in range(8):
-        near = np.concatenate([_sq(x[a : a + 4000], points).argmin(axis=1) for a in range(0, len(x), 4000)])
+    closest = lambda: np.concatenate([_sq(x[a : a + 4000], points).argmin(axis=1) for a in range(0, len(x), 4000)])
+    for _ in range(rounds):
+        near = closest()
         sums, sizes = np.zeros_like(points), np.bincount(near, minlength=count)
         np.add.at(sums, near, x)
         points = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], points)
-    close = np.concatenate([np.argsort(_sq(points[a : a + 1000], points), axis=1, kind="stable")[:, : NEIGHBOURS + 1] for a in range(0, count, 1000)])
-    graph = np.stack([np.resize(row[row != k], max(1, min(NEIGHBOURS, count - 1))) if count > 1 else np.zeros(1, int) for k, row in enumerate(close)])
+    return points, closest()
+
+
+def train(sample: np.ndarray, total: int, longest: float, seed: int = 7) -> Centroids:
+    """K-means on the sample; the number of lists follows the table's size up to ``CENTROIDS``."""
+    holder = Centroids(*[np.empty((0, 0))] * 4, longest)
+    x = holder.augmented(sample)
+    count = int(min(max(1, total // LIST), CENTROIDS, len(x)))
+    if count <= DIRECT:
+        points, _ = _means(x, count, seed)
+        return Centroids(points, np.empty((0, 0), int), points[:1], np.zeros(1, int), longest)
+    rough = int(count**0.5)
+    if count <= ONE_STEP:
+        points, _ = _means(x, count, seed)
+    else:
+        _, near = _means(x, rough, seed)
+        clusters = [x[near == c] for c in range(rough)]
+        points = np.concatenate([_means(own, max(1, round(count * len(own) / len(x))), seed + 1 + c, 5)[0] for c, own in enumerate(clusters) if len(own)])
+    centres, near = _means(points, rough, seed, 3)
+    by = np.argsort(near, kind="stable")
+    cuts = np.searchsorted(near[by], np.arange(rough + 1))
+    around = np.argsort(_sq(centres, centres), axis=1, kind="stable")[:, :AROUND]
+    graph = np.empty((len(points), NEIGHBOURS + 2), int)
+    for c in range(rough):
+        own = by[cuts[c] : cuts[c + 1]]
+        if not len(own):
+            continue
+        others = np.concatenate([by[cuts[o] : cuts[o + 1]] for o in around[c]])
+        if len(others) <= NEIGHBOURS:
+            others = np.unique(np.concatenate([others, np.arange(NEIGHBOURS + 1)]))
+        close, _ = _least(_sq(points[own], points[others]), NEIGHBOURS + 1)
+        for k, row in zip(own, others[close]):
+            graph[k, :NEIGHBOURS] = row[row != k][:NEIGHBOURS]
     # long links that keep the graph in one piece
-    jumps = np.stack([np.roll(np.arange(count), -(1 + count * s // 7) % max(count, 1)) for s in range(4)], axis=1)
-    entries = np.unique(np.linspace(0, count - 1, min(count, 32)).astype(int))
-    return Centroids(points, np.concatenate([graph, jumps], axis=1), entries, longest)
+    number = np.arange(len(points))
+    graph[:, NEIGHBOURS], graph[:, NEIGHBOURS + 1] = np.roll(number, 1), number[::-1]
+    entries = np.array([by[cuts[c] : cuts[c + 1]][_sq(points[by[cuts[c] : cuts[c + 1]]], centres[c : c + 1]).argmin()] if cuts[c] < cuts[c + 1] else 0 for c in range(rough)])
+    return Centroids(points, graph, centres, entries, longest)
 
 
 def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,11 +263,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     if not facts["n"]:
         return spark.createDataFrame([], schema)
-    share = min(1.0, SAMPLE / facts["n"])
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * SAMPLE).select("id", "v").toArrow()
+    share = min(1.0, max(SAMPLE, SAMPLE_EACH * min(CENTROIDS, facts["n"] // LIST)) / facts["n"])
+    drawn = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 50)) < share * (1 << 50)).select("id", "v").toArrow()
     if not drawn.num_rows:
-        drawn = rows.limit(1).toArrow()
-    drawn = drawn.sort_by("id")
+        drawn = rows.orderBy("id", "v").limit(1).toArrow()
+    drawn = drawn.sort_by([("id", "ascending")])
     lists = train(_matrix(drawn.column("v").combine_chunks()), facts["n"], float(np.sqrt(facts["m"])))
     most, ratio = calibrated(rows, is_query, lists, k)
 
@@ -235,36 +286,38 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
                 yield pa.RecordBatch.from_arrays([pa.array(near[keep].astype(np.int64)), part.column("id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "id", "v"])
 
     kind = "list long, id long, v array<double>"
-    postings = rows.mapInArrow(post, kind)
-    queries = rows.where(is_query).mapInArrow(probe, kind)
+    postings = durable(rows.mapInArrow(post, kind))
+    queries = durable(rows.where(is_query).mapInArrow(probe, kind))
     blocks = postings.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     groups = queries.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERY_BLOCK).alias("groups"))
-    plan = F.broadcast(blocks.join(groups, "list"))  # a row per list, at most CENTROIDS of them
+    plan = F.broadcast(durable(blocks.join(groups, "list")))  # a row per list, at most CENTROIDS of them
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     left = postings.join(plan, "list").select("list", salt("blocks").alias("block"), spread("groups").alias("group"), "id", "v")
     right = queries.join(plan, "list").select("list", spread("blocks").alias("block"), salt("groups").alias("group"), "id", "v")
 
     def search(posted: pa.Table, asked: pa.Table) -> pa.Table:
-        q_out, v_out, s_out = [], [], []
+        out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if posted.num_rows and asked.num_rows:
-            posted = posted.sort_by("id")
             ids, x = posted.column("id").to_numpy(), _matrix(posted.column("v").combine_chunks())
             names, q = asked.column("id").to_numpy(), _matrix(asked.column("v").combine_chunks())
             for a in range(0, len(q), 64):
                 score = q[a : a + 64] @ x.T
                 score[names[a : a + 64, None] == ids[None, :]] = -np.inf
-                for own, name, y in zip(score, names[a : a + 64], q[a : a + 64]):
-                    cut = np.partition(own, -k)[-k] if len(own) > k else -np.inf
-                    near = np.flatnonzero((own >= cut - 1e-9 * max(1.0, abs(cut) if np.isfinite(cut) else 1.0)) & np.isfinite(own))
-                    exact = (x[near] * y[None, :]).sum(axis=1)  # the same sum wherever the pair meets
-                    best = near[np.lexsort((ids[near], -exact))]
-                    score_of = dict(zip(near.tolist(), exact.tolist()))
-                    unique = list(dict.fromkeys(best.tolist()))[: 2 * k]
-                    q_out += [name] * len(unique)
-                    v_out += ids[unique].tolist()
-                    s_out += [score_of[u] for u in unique]
-        return pa.table({"query_id": pa.array(q_out, pa.int64()), "vec_id": pa.array(v_out, pa.int64()), "score": pa.array(s_out, pa.float64())})
+                cut = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(score), -np.inf)
+                slack = np.where(np.isfinite(cut), 1e-9 * np.maximum(1.0, np.abs(cut)), 0.0)
+                r, c = np.nonzero((score >= (cut - slack)[:, None]) & np.isfinite(score))
+                exact = (x[c] * q[a + r]).sum(axis=1)  # the same sum wherever the pair meets
+                order = np.lexsort((-exact, ids[c], r))
+                r, c, exact = r[order], c[order], exact[order]
+                new = np.append(True, (r[1:] != r[:-1]) | (ids[c][1:] != ids[c][:-1]))[: len(r)]  # an id's nearest vector counts
+                r, c, exact = r[new], c[new], exact[new]
+                order = np.lexsort((ids[c], -exact, r))
+                r, c, exact = r[order], c[order], exact[order]
+                best = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append((names[a + r[best]], ids[c[best]], exact[best]))
+        q_out, v_out, s_out = (np.concatenate(y) for y in zip(*out))
+        return pa.table({"query_id": q_out, "vec_id": v_out, "score": s_out})
 
     keys = ["list", "block", "group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")

@@ -413,8 +413,10 @@ def test_ann_recall_and_odd_vectors(spark):
     assert few.groupby("query_id").size().tolist() == [3, 3, 3, 3]
 
 
-def test_ann_recall_with_many_lists(spark, monkeypatch):
+@pytest.mark.parametrize("one_step", [2048, 100])
+def test_ann_recall_with_many_lists(spark, monkeypatch, one_step):
     monkeypatch.setattr(ann, "LIST", 10)
+    monkeypatch.setattr(ann, "ONE_STEP", one_step)
     x = np.random.default_rng(8).normal(size=(6000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     vectors = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
@@ -425,3 +427,13 @@ def test_ann_recall_with_many_lists(spark, monkeypatch):
         score[q] = -np.inf
         hits += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
     assert got.query_id.nunique() == 200 and hits >= 0.9 * 20 * 200
+
+
+def test_lists_grow_with_the_table_and_walks_find_them():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(8, 24))[r.integers(0, 8, 12_000)] + 0.5 * r.normal(size=(12_000, 24))
+    lists = ann.train(x, 12_000 * 50, float(np.linalg.norm(x, axis=1).max()))
+    assert len(lists.points) > 2900
+    near, dist = lists.nearest(lists.augmented(x[:500]), 4)
+    true, _ = ann._least(ann._sq(lists.augmented(x[:500]), lists.points), 4)
+    assert np.mean([len(set(a) & set(b)) / 4 for a, b in zip(near, true)]) > 0.9 and (np.diff(dist, axis=1) >= 0).all()
