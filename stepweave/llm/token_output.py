@@ -68,7 +68,8 @@ def filesystem(uri: str):
     """(filesystem, path) of a URI or plain path."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
+    uri = uri if "://" in uri else "file://" + os.path.abspath(uri)
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)  # the same store under the JVM's name for it
 
 
 def write_records(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
