@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stepweave.llm import decontaminate, language_id, near_dup, packing, secrets, simhash
 from stepweave.llm.tokens import vocabulary
-from stepweave.plans.durable import fresh_path
+from stepweave.plans.durable import discard, fresh_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)  # the stage after it is written
+        before = path
     return docs
