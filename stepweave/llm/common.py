@@ -26,11 +26,23 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch, unless the session names its own: ten thousand whole texts, Spark's usual batch, may be anything.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: clashing extra columns can't interfere."""
+    bounded(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def bounded(spark: SparkSession) -> None:
+    """Have batches of texts cut by bytes, on their way to Python as well as in it."""
+    if spark.conf.get(_BATCH) == f"{64 << 20}b":  # Spark's own
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else, unlike ``lower``."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import ALNUM, load, picked, slices, text_bytes, words_of
+from stepweave.llm.common import ALNUM, bounded, load, picked, slices, text_bytes, words_of
 from stepweave.plans.durable import durable
 
 WINDOW = 8
@@ -244,6 +244,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, long
     A document goes if windows of two items or more occur in it, if a hit span has ``long_span`` words or more, or if
     hits cover more than ``coverage`` of its words. Shorter hits are cut out of its text; any other text is unchanged.
     """
+    bounded(docs.sparkSession)
     names = docs.columns
     place = names.index(text_col)
 

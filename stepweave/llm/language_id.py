@@ -4,7 +4,7 @@ A text is lower-cased (A-Z), its ASCII non-letters become spaces, and its byte b
 counts; square-rooted counts times inverse document frequency, scaled to length one, are its vector. Each language has
 up to ``CENTROIDS`` centroids from spherical k-means. A text gets the language of the centroid with the largest cosine
 and is rejected when that cosine is below a share of what nearly all of the language's training texts reach at the text's
-length: few n-grams reach little, so the floor is fitted for training texts cut to each power of two of n-grams too.
+length: few n-grams reach little, so the floor is fitted for pieces cut from training texts, of each power of two of bytes, too.
 
 The classifier is fitted on a bounded sample: about ``SAMPLE`` labelled documents a language, at most ``SAMPLE_ALL`` in
 all and of the ``LANGUAGES`` most frequent labels, picked by a hash of their id among all that may be learnt from. Executors
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import SMALL_SLICE, load, picked, slices, text_bytes
+from stepweave.llm.common import SMALL_SLICE, bounded, load, picked, slices, text_bytes
 
 DIM = 1 << 13
 CENTROIDS = 3
@@ -35,6 +35,8 @@ ROUNDS = 10
 REJECT_SHARE, REJECT_QUANTILE = 0.4, 0.005
 #: Powers of two of n-grams that have a floor of their own; longer texts share the last one.
 LEVELS = 13
+#: One in so many sampled texts is cut for that.
+CUT_EACH = 4
 UNKNOWN = "und"
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text that are counted at once: each takes some forty meanwhile.
@@ -95,8 +97,10 @@ def level(sizes: np.ndarray) -> np.ndarray:
 
 
 def vectors(table: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.sqrt(table, dtype=np.float32) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.sqrt(table, dtype=np.float32)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 def near(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +144,8 @@ def fit(drawn: list[Drawn]) -> Model:
             sums = np.stack([x[own == k].sum(axis=0) if (own == k).any() else centre[k] for k in range(len(centre))])
             centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
         reached, at = [(x @ centre.T).max(axis=1)], [level(sizes)]
-        for a in range(0, len(cuts.get(language, ())), 1000):
-            part, part_sizes = dense(cuts[language][a : a + 1000])
+        for a in range(0, len(cuts.get(language, ())), 500):
+            part, part_sizes = dense(cuts[language][a : a + 500])
             reached.append((part @ centre.T).max(axis=1))
             at.append(level(part_sizes))
         cosine, levels = np.concatenate(reached), np.concatenate(at)
@@ -166,7 +170,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, at = text_bytes(texts)
         owner, cut, pieces = [*range(batch.num_rows)], [-1] * batch.num_rows, []
         for k, size in enumerate(np.diff(at).tolist()):
-            for n in range(LEVELS):
+            for n in range(LEVELS if orders[k] % CUT_EACH == 0 else 0):
                 reach = 1 << n  # bytes; each gives about two n-grams
                 if reach >= size:
                     break
@@ -226,6 +230,7 @@ def trained(docs: DataFrame, folds: int = 4, fold: int = 2) -> Model | None:
 def accepted(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns, in one pass."""
     model = model or trained(docs)
+    bounded(docs.sparkSession)
     names = docs.columns
     place = names.index(text_col)
 

@@ -61,7 +61,17 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key's shingles, once a task: rows of one key and id are in one task, unless a hot one is split."""
+    met: set[int] = set()
     for batch in slices(batches, limit=SMALL_SLICE):
+        fresh = []
+        for at, key in enumerate(batch.column("key").to_pylist()):
+            if key not in met:
+                met.add(key)
+                fresh.append(at)
+        batch = batch.take(pa.array(fresh, pa.int64()))
+        if not batch.num_rows:
+            continue
         hashes, counts = shingle_hashes(batch.column("text"), WORDS)
         own = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(own, pa.list_(pa.int64()))], ["key", "shingles"])
@@ -87,14 +97,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     involved = member.select("key").union(proposed.select(F.explode(F.array("a", "b")))).distinct().join(distinct.select("key", "least"), "key").toDF("k", "least")
     texts = rows.mapInArrow(_keyed, "doc_id long, key long, text string")
     texts = texts.join(involved, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = durable(texts.select("key", "text").mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
-    size = sets.select("key", F.size("shingles").alias("n"))
+    sets = durable(texts.select("key", "text").mapInArrow(_sets, "key long, shingles array<long>"))
+    size = sets.select("key", F.size("shingles").alias("n")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         # similarities of 0.8 need sizes within 0.8 of each other: the others are dropped before their sets are joined
         fine = pairs.join(size.toDF("a", "m"), "a").join(size.toDF("b", "n"), "b").where("5 * least(m, n) >= 4 * greatest(m, n)")
         both = fine.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("m") + F.col("n"))).select("a", "b")
+        return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("m") + F.col("n"))).select("a", "b").distinct()
 
     first = durable(verified(proposed))
     root = connected_components(first, "a", "b").toDF("key", "root")

@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=2 << 20):
             starts, ids = encoder.encode(batch.column("text"))
             rows: list[tuple] = []
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):

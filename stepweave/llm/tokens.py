@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct stems in a generation of a worker's memory; two generations are held.
-CACHE_STEMS = 150_000
+CACHE_STEMS = 100_000
 _TAIL = ".,;:!?"
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -73,8 +73,8 @@ class Encoder:
         plain, other = [], []
         for stem in missing:
             (plain if stem.isalpha() and max(stem) <= "\xff" else other).append(stem)
-        for start in range(0, len(plain), 50_000):
-            block = plain[start : start + 50_000]
+        for start in range(0, len(plain), 8000):
+            block = plain[start : start + 8000]
             text = " ".join(block).lower().translate(self.spelled)
             ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -85,8 +85,8 @@ class Encoder:
             for stem, stop in zip(block, (stops * 4).tolist()):
                 self.cache[stem] = raw[before:stop]
                 before = stop
-        for start in range(0, len(other), 20_000):
-            block = other[start : start + 20_000]
+        for start in range(0, len(other), 3000):
+            block = other[start : start + 3000]
             for stem, encoding in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
                 self.cache[stem] = np.array(encoding.ids, "<u4").tobytes()
 
