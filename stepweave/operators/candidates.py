@@ -79,19 +79,80 @@ def identical_candidates(d: DataFrame) -> DataFrame:
     return _spanning(d.where("meaningful"), ["h_alpha", "identity"], "partition", "identical")
 
 
-def structural_candidates(d: DataFrame, limit: int = 250_000) -> DataFrame:
-    """J3, with the pairs beyond the limit of a class marked as skipped."""
-    rows = d.where("meaningful").select("def_id", "h_structural", "identity", "h_alpha", "partition")
-    left, right = rows.alias("l"), rows.alias("r")
-    same = (F.col("l.h_structural") == F.col("r.h_structural")) & (F.col("l.identity") == F.col("r.identity"))
-    other = (F.col("l.h_alpha") != F.col("r.h_alpha")) & (F.col("l.partition") != F.col("r.partition"))
-    pairs = left.join(right, same & other & (F.col("l.def_id") < F.col("r.def_id"))).select(F.col("l.def_id").alias("a"), F.col("r.def_id").alias("b"), "l.h_structural", "l.identity")
-    order = F.row_number().over(Window.partitionBy("h_structural", "identity").orderBy("a", "b"))
-    sizes = rows.groupBy("h_structural", "identity").count().where(F.col("count") * (F.col("count") - 1) / 2 > limit)
-    # only classes that can exceed the limit are numbered at all
-    large = pairs.join(sizes, ["h_structural", "identity"], "left_semi").withColumn("skipped", order > limit)
-    small = pairs.join(sizes, ["h_structural", "identity"], "left_anti").withColumn("skipped", F.lit(False))
-    return small.unionByName(large).select("a", "b", F.lit("structural").alias("source"), "skipped")
+STRUCTURE = ["h_structural", "identity"]
+
+
+def structural_rows(d: DataFrame) -> DataFrame:
+    return d.where("meaningful").select("def_id", *STRUCTURE, "h_alpha", "partition")
+
+
+def structural_groups(rows: DataFrame) -> DataFrame:
+    """V8: per structural class and matcher group ``g`` (numbered by its first definition), what it proposes.
+
+    Columns: n (definitions), later (those of later groups), offers (pairs with later groups behind different handlers), upto
+    (offers of this and all earlier groups), total (of the class). Pairs are counted from sizes, none is made.
+    """
+    first = rows.groupBy(*STRUCTURE, "partition").agg(F.min("def_id").alias("g"))
+    sized = rows.join(first, [*STRUCTURE, "partition"]).groupBy(*STRUCTURE, "g", "h_alpha").agg(F.count("*").alias("n"))
+    by_alpha = Window.partitionBy(*STRUCTURE, "h_alpha")
+    after = F.sum("n").over(by_alpha) - F.sum("n").over(by_alpha.orderBy("g"))
+    alike = sized.withColumn("same", F.col("n") * after).groupBy(*STRUCTURE, "g").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    whole = Window.partitionBy(*STRUCTURE)
+    later = F.sum("n").over(whole) - F.sum("n").over(whole.orderBy("g"))
+    offers = alike.withColumn("later", later).withColumn("offers", F.col("n") * F.col("later") - F.col("same")).drop("same")
+    return offers.withColumns({"upto": F.sum("offers").over(whole.orderBy("g")), "total": F.sum("offers").over(whole)})
+
+
+def structural_candidates(d: DataFrame, limit: int = 250_000) -> tuple[DataFrame, DataFrame]:
+    """(pairs, classes with more than ``limit`` of them and how many are skipped).
+
+    Pairs beyond the limit are those that come last by (left group, right group, left, right). They are found by prefix sums
+    over group sizes, so that none of them is made: whole left groups, then whole right groups for the next one, then
+    single definitions.
+    """
+    rows = structural_rows(d)
+    groups = durable(structural_groups(rows))
+    over = groups.where(F.col("total") > limit).select(*STRUCTURE, (F.col("total") - limit).alias("skipped")).distinct()
+    numbered = rows.join(rows.groupBy(*STRUCTURE, "partition").agg(F.min("def_id").alias("g")), [*STRUCTURE, "partition"])
+    other = (F.col("l.h_alpha") != F.col("r.h_alpha")) & (F.col("l.g") < F.col("r.g"))
+    same = lambda more=(): [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*STRUCTURE, *more)]
+
+    def pairs(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
+        on = other
+        for c in same():
+            on = on & c
+        met = left.alias("l").join(right.alias("r"), on if extra is None else on & extra)
+        return met.select(F.least("l.def_id", "r.def_id").alias("a"), F.greatest("l.def_id", "r.def_id").alias("b"), F.lit("structural").alias("source"))
+
+    whole = groups.where((F.col("upto") <= limit) & (F.col("offers") > 0)).select(*STRUCTURE, "g")
+    found = pairs(numbered.join(whole, [*STRUCTURE, "g"], "left_semi"), numbered)
+    if over.isEmpty():
+        return found, over
+    # the one left group of each class that is cut
+    cut = groups.where((F.col("upto") > limit) & (F.col("upto") - F.col("offers") < limit)).select(*STRUCTURE, "g", (limit - F.col("upto") + F.col("offers")).alias("k"))
+    giver = numbered.join(cut, [*STRUCTURE, "g"])
+    own = giver.groupBy(*STRUCTURE, "h_alpha").agg(F.count("*").alias("m"))
+    held = giver.groupBy(*STRUCTURE).agg(F.count("*").alias("all"), F.first("g").alias("lg"), F.first("k").alias("k"))
+    behind = numbered.join(held, STRUCTURE).where(F.col("g") > F.col("lg"))
+    per = behind.groupBy(*STRUCTURE, "k", "lg", "g", "h_alpha").agg(F.count("*").alias("n"), F.first("all").alias("all")).join(own, [*STRUCTURE, "h_alpha"], "left")
+    offered = per.groupBy(*STRUCTURE, "k", "lg", "g").agg(F.sum(F.col("n") * (F.col("all") - F.coalesce("m", F.lit(0)))).alias("offers"))
+    upto = F.sum("offers").over(Window.partitionBy(*STRUCTURE).orderBy("g"))
+    rights = durable(offered.withColumn("upto", upto))
+    full = rights.where(F.col("upto") <= F.col("k")).select(*STRUCTURE, "g")
+    found = found.unionByName(pairs(giver.drop("k"), numbered.join(full, [*STRUCTURE, "g"], "left_semi")))
+    # the one right group that is cut: so many pairs of it by the left definition, then by the right one
+    last = rights.where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("offers") < F.col("k"))).select(*STRUCTURE, "g", (F.col("k") - F.col("upto") + F.col("offers")).alias("k"))
+    taker = numbered.join(last, [*STRUCTURE, "g"])
+    sizes = taker.groupBy(*STRUCTURE, "h_alpha").agg(F.count("*").alias("n"))
+    all_of = taker.groupBy(*STRUCTURE).agg(F.count("*").alias("all"), F.first("k").alias("k"))
+    left = giver.drop("k").join(all_of, STRUCTURE).join(sizes, [*STRUCTURE, "h_alpha"], "left").withColumn("offers", F.col("all") - F.coalesce("n", F.lit(0)))
+    left = left.withColumn("room", F.col("k") - F.sum("offers").over(Window.partitionBy(*STRUCTURE).orderBy("def_id")) + F.col("offers")).where("room > 0 and offers > 0")
+    ranked = taker.drop("k").withColumn("place", F.row_number().over(Window.partitionBy(*STRUCTURE).orderBy("def_id")))
+    kept = pairs(left.where("room >= offers").select(*numbered.columns), ranked.select(*numbered.columns))
+    one = left.where("room < offers").alias("l").join(ranked.alias("r"), [c for c in same()]).where(F.col("l.h_alpha") != F.col("r.h_alpha"))
+    order = F.row_number().over(Window.partitionBy("l.def_id").orderBy("r.def_id"))
+    partly = one.withColumn("o", order).where("o <= room").select(F.least("l.def_id", "r.def_id").alias("a"), F.greatest("l.def_id", "r.def_id").alias("b"), F.lit("structural").alias("source"))
+    return found.unionByName(kept).unionByName(partly), over
 
 
 def blocking_candidates(d: DataFrame, posting: int = POSTING) -> DataFrame:
@@ -155,13 +216,15 @@ def candidates(d: DataFrame, config: Config, only: tuple[str, ...] = SOURCES) ->
 
     A pair is owned by the first source that proposes it; the blocking source proposes only what no other did.
     """
-    parts = []
+    parts, unmade = [], 0
     if "normalized" in only:
         parts.append(normalized_candidates(d).withColumn("skipped", F.lit(False)))
     if "identical" in only:
         parts.append(identical_candidates(d).withColumn("skipped", F.lit(False)))
     if "structural" in only:
-        parts.append(structural_candidates(d, config.max_structural_class_comparisons))
+        found, over = structural_candidates(d, config.max_structural_class_comparisons)
+        parts.append(found.withColumn("skipped", F.lit(False)))
+        unmade = over.agg(F.coalesce(F.sum("skipped"), F.lit(0))).first()[0]
     if "blocking" in only:
         parts.append(blocking_candidates(d).withColumn("skipped", F.lit(False)))
     every = parts[0]
@@ -178,4 +241,7 @@ def candidates(d: DataFrame, config: Config, only: tuple[str, ...] = SOURCES) ->
         cut = all_pairs.where("not skipped").orderBy("rank", "a", "b").limit(config.max_candidate_comparisons).select("a", "b", F.lit(True).alias("within"))
         all_pairs = durable(all_pairs.join(cut, ["a", "b"], "left").withColumn("skipped", F.coalesce(~F.col("within"), F.lit(True))).drop("within"))
     census = all_pairs.groupBy("owner").agg(F.sum((~F.col("skipped")).cast("bigint")).alias("evaluated"), F.sum(F.col("skipped").cast("bigint")).alias("skipped"))
+    if unmade:
+        more = d.sparkSession.createDataFrame([("structural", 0, unmade)], "owner string, evaluated bigint, skipped bigint")
+        census = census.unionByName(more).groupBy("owner").agg(F.sum("evaluated").alias("evaluated"), F.sum("skipped").alias("skipped"))
     return all_pairs.where("not skipped").drop("skipped", "rank"), census

@@ -86,7 +86,43 @@ def identical_candidates(spark, sf_dir):
 @query(f"select l.def_id a, r.def_id b from {PARTS} l join {PARTS} r on l.structural = r.structural and l.def_id < r.def_id and l.alpha <> r.alpha and l.normalized <> r.normalized")
 def structural_candidates(spark, sf_dir):
     """One structure, different handlers and matchers."""
-    return candidates.structural_candidates(part_definitions(spark, sf_dir)).where("not skipped").select("a", "b")
+    return candidates.structural_candidates(part_definitions(spark, sf_dir))[0].select("a", "b")
+
+
+#: Sizes to a multiple of ten and no type: few classes with many matchers and handlers each.
+_COARSE = f"(select *, 'size ' || (p_size // 10) class, min(def_id) over (partition by p_size // 10, normalized) g from {PARTS})"
+_PROPOSED = f"""(select l.class, least(l.def_id, r.def_id) a, greatest(l.def_id, r.def_id) b, row_number() over (partition by l.class order by l.g, r.g, l.def_id, r.def_id) k
+  from {_COARSE} l join {_COARSE} r on l.class = r.class and l.g < r.g and l.p_brand <> r.p_brand)"""
+
+
+def coarse_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = part_definitions(spark, sf_dir)
+    size = F.floor(F.element_at(F.split("h_structural", "/"), -1).cast("int") / 10).cast("string")
+    return d.withColumns({"h_structural": F.concat(F.lit("size "), size), "h_alpha": F.regexp_extract("location.path", "src/(.*)[.]ts", 1), "identity": F.lit("one"), "events": F.array(F.lit("call:one")), "run": F.array(F.lit("call:one"))})
+
+
+@query(f"select a, b from {_PROPOSED} where k <= 1000")
+def structural_limit(spark, sf_dir):
+    """J3 at a limit of 1,000 pairs a class: which ones are kept, without making the others."""
+    return candidates.structural_candidates(coarse_definitions(spark, sf_dir), 1000)[0].select("a", "b")
+
+
+@query(f"select class h_structural, count(*)::bigint total, greatest(count(*) - 1000, 0)::bigint skipped from {_PROPOSED} group by 1")
+def structural_proposals(spark, sf_dir):
+    """V8: pairs that each class proposes, and those beyond a limit, counted from sizes."""
+    totals = candidates.structural_groups(candidates.structural_rows(coarse_definitions(spark, sf_dir))).select("h_structural", F.col("total").cast("bigint").alias("total")).distinct()
+    return totals.withColumn("skipped", F.greatest(F.col("total") - 1000, F.lit(0)).cast("bigint"))
+
+
+@query(f"""with s as (select def_id, normalized m, unnest(list_distinct(list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3)))) x from {PARTS}),
+n as (select x, count(*) n from s group by 1),
+few as (select l.def_id a, r.def_id b from s l join s r on l.x = r.x and l.def_id < r.def_id join n on n.x = l.x where n <= {candidates.POSTING}),
+many as (select least(def_id, after) a, greatest(def_id, after) b from (select def_id, lead(def_id) over (partition by x order by m, def_id) after from s join n using (x) where n > {candidates.POSTING}) where after is not null)
+select a, b from (select * from few union select * from many) join {PARTS} l on l.def_id = a join {PARTS} r on r.def_id = b
+where l.normalized <> r.normalized and not (l.alpha <> r.alpha and l.structural = r.structural) and (l.p_type = r.p_type or l.p_size = r.p_size)""")
+def blocking_candidates(spark, sf_dir):
+    """Pairs by shared trigrams, lexical neighbours where a trigram is common, whose handlers have half in common."""
+    return candidates.blocking_candidates(part_definitions(spark, sf_dir)).select("a", "b")
 
 
 @query(f"""with m as (select distinct normalized s from {PARTS}), g as (select s, unnest(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) shingle from m)
