@@ -162,9 +162,14 @@ def near_matchers(spark, sf_dir):
     return name_pairs(spark, sf_dir).where(metrics.near_gate(F.col("ls"), F.col("rs"), metrics.combined_score(F.col("ls"), F.col("rs"))))
 
 
-@query()
+@query(f"""with w as (select *, string_split(ls, ' ') l, string_split(rs, ' ') r from {_PAIRS}),
+p as (select *, least(len(l), len(r)) m, (select coalesce(min(i) - 1, least(len(l), len(r))) from range(1, least(len(l), len(r)) + 1) t(i) where l[i] <> r[i]) p from w),
+q as (select *, (select coalesce(min(i) - 1, m - p) from range(1, m - p + 1) t(i) where l[len(l) - i + 1] <> r[len(r) - i + 1]) s from p),
+c as (select *, l[p + 1 : len(l) - s] a, r[p + 1 : len(r) - s] b from q)
+select ls, rs, greatest(len(a), len(b))::int span from c where greatest({_EDIT}, jaro_winkler_similarity(ls, rs)) >= 0.6 and greatest(len(a), len(b)) <= 3
+  and len(list_intersect(list_intersect(a, b), list_concat(a[2 : len(a) - 1], b[2 : len(b) - 1]))) = 0""")
 def parameterizable_matchers(spark, sf_dir):
-    """F8: pairs that one parameter could cover; against brute force in the tests."""
+    """F8: pairs that one parameter could cover."""
     span = metrics.change_span_udf(keys.words(F.col("ls")), keys.words(F.col("rs")))
     return name_pairs(spark, sf_dir).withColumn("span", span).where((F.col("span") <= 3) & (metrics.combined_score(F.col("ls"), F.col("rs")) >= 0.6))
 
@@ -222,14 +227,30 @@ def event_multiset_overlap(spark, sf_dir):
     return both.select("user_id", metrics.multiset_overlap(F.col("l"), F.col("r")).alias("shared"), F.greatest(F.size("l"), F.size("r")).alias("longer"))
 
 
-@query()
+@query(f"""with recursive t as (select user_id, lane, list(e order by event_id) es, list(e order by event_id) filter (true) x from {_EVENTS} group by 1, 2),
+p as (select a.user_id, a.es l, b.es r from t a join t b on a.user_id = b.user_id and a.lane = 0 and b.lane = 1),
+d as (select user_id, l, r, 0 i, list_transform(r, lambda x: 0) cells from p union all
+  select user_id, l, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when l[i + 1] = r[k] then (case when k > 1 then cells[k - 1] else 0 end) + 1 else cells[k] end))) from d where i < len(l))
+select user_id, floor(case when l = r then 1.0 when user_id % 5 = 0 then 0.95 else cells[len(r)]::double / greatest(len(l), len(r)) end * 1000 + 0.5) / 1000 similarity from d where i = len(l)""")
 def handler_ladder(spark, sf_dir):
-    """V5, V6: similarity of two streams of a user; the LCS is checked against brute force in the tests."""
+    """V5, V6: similarity of two streams of a user."""
     s = streams(spark, sf_dir)
     both = s.where("lane = 0").select("user_id", F.col("events").alias("l")).join(s.where("lane = 1").select("user_id", F.col("events").alias("r")), "user_id")
     return both.select("user_id", keys.round_score(metrics.handler_similarity(F.lit(True), F.col("user_id") % 5 == 0, F.lit(True), F.col("l"), F.col("r"))).alias("similarity"))
 
 
+@query(f"""with t as (select user_id, lane, list(e order by event_id) es from {_EVENTS} group by 1, 2), f as (select lane, user_id, es from t),
+c as (select user_id, lane, e, count(*) n from {_EVENTS} group by 1, 2, 3),
+m as (select l.user_id, l.es, r.es rs, coalesce((select sum(least(a.n, b.n)) from c a join c b on a.e = b.e and a.user_id = b.user_id where a.user_id = l.user_id and a.lane = 0 and b.lane = 1 and not starts_with(a.e, 'method:')), 0) shared from f l join f r on l.user_id = r.user_id and l.lane = 0 and r.lane = 1),
+x as (select user_id, shared, list_filter(es, lambda e: not starts_with(e, 'method:')) l, list_filter(rs, lambda e: not starts_with(e, 'method:')) r from m)
+select user_id, (user_id % 4 = 0 and l = r) or (greatest(len(l), len(r)) > 0 and len(list_filter(list_intersect(l, r), lambda e: starts_with(e, 'call:') or starts_with(e, 'deferred-assert:'))) > 0 and shared / greatest(len(l), len(r)) >= 0.5) reaches from x""")
+def handler_gate(spark, sf_dir):
+    """same structure and events, or a shared anchor and half of the longer stream in common."""
+    s = streams(spark, sf_dir).withColumns({"run": keys.run_events(F.col("events")), "anchors": keys.anchors(F.col("events"))})
+    l, r = s.where("lane = 0").select("user_id", F.col("run").alias("lr"), F.col("anchors").alias("la")), s.where("lane = 1").select("user_id", F.col("run").alias("rr"), F.col("anchors").alias("ra"))
+    return l.join(r, "user_id").select("user_id", metrics.reaches_handler_gate(F.col("user_id") % 4 == 0, F.col("lr"), F.col("rr"), F.col("la"), F.col("ra")).alias("reaches"))
+
+
 @query(f"select def_id node, min(def_id) over (partition by normalized) component from {PARTS} qualify count(*) over (partition by normalized) > 1")
 def matcher_components(spark, sf_dir):
     """A4: components over J1's edges."""
@@ -295,10 +316,18 @@ def unused_definitions(spark, sf_dir):
     return usage.unused(prepared, usage.used(prepared, usage.text_matches(usage.distinct_texts(steps), prepared)))
 
 
-@query()
+@query("select n_nationkey::bigint a, 1000::bigint b, 'nation ' || n_name || ' trades' witness from nation where n_name not like '% %' and n_regionkey <> 0")
 def overlapping_matchers(spark, sf_dir):
-    """Pairs that accept one witness and that no step proves ambiguous."""
-    steps, prepared = event_steps(spark, sf_dir), durable(step_definitions(spark))
+    """Pairs that accept one witness and that no step proves ambiguous. One matcher a nation, one for any."""
+    n = read(spark, sf_dir, "nation")
+    own = n.select(F.col("n_nationkey").cast("bigint").alias("def_id"), F.concat(F.lit("nation "), "n_name", F.lit(" trades")).alias("m")).unionByName(spark.createDataFrame([(1000, "nation {word} trades")], "def_id bigint, m string"))
+    place = F.struct(F.lit("steps.ts").alias("path"), F.col("def_id").cast("int").alias("line"), F.lit(1).alias("column"), F.col("def_id").cast("int").alias("end_line"), F.lit(9).alias("end_column"))
+    blank = F.lit("")
+    d = own.select("def_id", F.col("m").alias("matcher"), F.lit("cucumber-expression").alias("matcher_kind"), blank.alias("matcher_flags"), F.col("m").alias("normalized_matcher"), blank.alias("h_exact"), blank.alias("h_normalized"), F.col("m").alias("h_alpha"), F.col("m").alias("h_structural"), F.array().cast("array<string>").alias("events"), blank.alias("snippet"), F.lit(True).alias("comparable"), F.lit(False).alias("trivial"), F.lit("complete").alias("effect_stream"), F.lit(None).cast("string").alias("capture_scope"), F.lit("cucumber").alias("framework"), F.lit("Given").alias("registration"), place.alias("location"), F.array().cast("array<struct<rule:string,reason:string>>").alias("inline_suppressions"))
+    prepared = durable(matchers.with_expressions(candidates.classified(d), {}))
+    key = F.col("n_nationkey").cast("int")
+    at = F.struct(F.lit("a.feature").alias("path"), key.alias("line"), F.lit(1).alias("column"), key.alias("end_line"), F.lit(9).alias("end_column"))
+    steps = n.where("n_regionkey = 0").select(F.col("n_nationkey").cast("bigint").alias("step_seq"), F.lit("Given").alias("keyword"), F.concat(F.lit("nation "), "n_name", F.lit(" trades")).alias("text"), at.alias("location"))
     found = usage.ambiguities(steps, usage.text_matches(usage.distinct_texts(steps), prepared).distinct())
     return usage.overlaps(prepared, usage.proven_pairs(found))
 
@@ -437,12 +466,32 @@ def candidate_census(spark, sf_dir):
     return census
 
 
-@query()
+@query(f"""with d as (select * from {PARTS}), {_spanning_sql('d', 'normalized', 'matcher')},
+h2 as (select g, p, head, row_number() over (partition by g order by head) rk from (select alpha g, normalized p, min(def_id) head from d group by 1, 2)),
+e2 as (select g, min(head) filter (rk = 1) h1, min(head) filter (rk = 2) h2, min(p) filter (rk = 1) p1 from h2 group by g having count(*) > 1),
+n as (select a, b from (select lag(def_id) over (partition by normalized, matcher order by def_id) a, def_id b from d) where a is not null
+ union select least(x, y), greatest(x, y) from (select case when matcher = p1 then h2 else h1 end x, def_id y from d join e on normalized = g where matcher <> p1 or def_id <> h1)),
+i as (select distinct least(x, y) a, greatest(x, y) b from (select case when normalized = p1 then h2 else h1 end x, def_id y from d join e2 on alpha = g where normalized <> p1 or def_id <> h1)),
+s as (select l.def_id a, r.def_id b from d l join d r on l.structural = r.structural and l.def_id < r.def_id and l.alpha <> r.alpha and l.normalized <> r.normalized),
+u as (select a, b, string_agg(src, ',' order by src) sources, case min(k) when 0 then 'normalized' when 1 then 'identical' else 'structural' end owner from (select a, b, 'normalized' src, 0 k from n union all select a, b, 'identical', 1 from i union all select a, b, 'structural', 2 from s) group by 1, 2),
+v as (select u.*, l.matcher = r.matcher exact_matcher, l.normalized = r.normalized eq_norm, l.alpha = r.alpha same_handler, l.structural = r.structural same_structure, l.normalized ls, r.normalized rs, string_split(l.normalized, ' ') l, string_split(r.normalized, ' ') r,
+  ((l.p_type = r.p_type)::int + (l.p_size = r.p_size)::int) / 2.0 common, contains(sources, 'normalized') and l.normalized = r.normalized by_matcher, contains(sources, 'identical') and l.normalized <> r.normalized and l.alpha = r.alpha by_handler,
+  contains(sources, 'structural') and l.normalized <> r.normalized and l.alpha <> r.alpha and l.structural = r.structural structural from u join d l on l.def_id = a join d r on r.def_id = b),
+w as (select *, (contains(sources, 'identical') or contains(sources, 'structural')) and not structural and not eq_norm near,
+  (select coalesce(min(i) - 1, least(len(l), len(r))) from range(1, least(len(l), len(r)) + 1) t(i) where l[i] <> r[i]) p from v),
+x as (select *, case when eq_norm then 1.0 when by_handler or structural or near then greatest({_EDIT}, jaro_winkler_similarity(ls, rs)) else 0.0 end score,
+  (select coalesce(min(i) - 1, least(len(l), len(r)) - p) from range(1, least(len(l), len(r)) - p + 1) t(i) where l[len(l) - i + 1] <> r[len(r) - i + 1]) sfx from w),
+y as (select *, structural and score >= 0.6 and greatest(len(l), len(r)) - p - sfx <= 3 parameter, near and score >= case when greatest(length(ls), length(rs)) <= 12 then 0.92 else 0.90 end close from x),
+z as (select *, case when by_matcher or by_handler or parameter or (close and not parameter) then case when same_handler and same_structure then 1.0 when same_structure then 0.95 else common end else 0.0 end handler from y)
+select a, b, sources, owner, exact_matcher, eq_norm, same_handler, same_structure, floor(score * 1000 + 0.5) / 1000 score, floor(handler * 1000 + 0.5) / 1000 handler_score,
+  concat_ws(',', case when by_matcher and exact_matcher then 'duplicate-matcher' end, case when by_matcher and not exact_matcher then 'normalized-matcher' end, case when by_handler then 'duplicate-handler' end,
+  case when parameter then 'parameterization-candidate' end, case when close and not parameter and handler >= {Config().near_duplicate_handler_similarity} then 'near-duplicate-step' end) rules from z""")
 def pair_verification(spark, sf_dir):
-    """V1: the decision table over all candidate pairs of parts of the exact and structural sources."""
+    """V1, K8: the decision table over all candidate pairs of parts of the exact and structural sources."""
     d = durable(part_definitions(spark, sf_dir))
     pairs, _ = candidates.candidates(d, Config(), ("normalized", "identical", "structural"))
-    return verify.pair_records(verify.verified(verify.pair_relations(pairs, d), Config()))
+    found = verify.pair_records(verify.verified(verify.pair_relations(pairs, d), Config()))
+    return found.select("a", "b", F.array_join("sources", ",").alias("sources"), "owner", "exact_matcher", "eq_norm", "same_handler", "same_structure", "score", "handler_score", F.array_join("rules", ",").alias("rules"))
 
 
 def supplier_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
