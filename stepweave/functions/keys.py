@@ -90,11 +90,6 @@ def normalized_matcher(kind: Column, matcher: Column, flags: Column, identity: s
     return F.when(kind == "regular-expression", prefixed).when(kind == "cucumber-expression", normalized_expression(matcher)).otherwise(collapse(nfkc(matcher)))
 
 
-def partition_flags(flags: Column, identity: str, canonical_source: bool) -> Column:
-    """P5: flags as part of a matcher's class; null where the text already holds them."""
-    return F.lit(None).cast("string") if canonical_source else effective_flags(flags, identity)
-
-
 def event_kind(event: Column) -> Column:
     """Method, call, assert, deferred-assert, control or other."""
     control = event.isin("if", "loop", "switch", "try", "return", "throw", "await", "yield")
@@ -182,9 +177,23 @@ def sanitized(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\u00AD\\u061C\\u180E\\u200B-\\u200F\\u2028-\\u202E\\u2060-\\u206F\\uFEFF\\uFFF9-\\uFFFB\\x{E0000}-\\x{E007F}]", "")
 
 
+def _whole(raw: Column, at: Column, step: int) -> Column:
+    """``at``, or the next position by ``step`` where no UTF-8 character is cut: position ``at`` begins one."""
+    inside = lambda k: F.hex(F.substring(raw, at + k * step, F.lit(1))).rlike("^[89AB]")
+    return F.when(~inside(0), at).when(~inside(1), at + step).when(~inside(2), at + 2 * step).otherwise(at + 3 * step)
+
+
 def sampled(text: Column, limit: int = 8192) -> Column:
-    """A long text's beginning with a mark and the digest of the whole."""
-    return F.when(F.octet_length(text) > limit, F.concat(F.substring(text, 1, limit // 4), F.lit(" … ["), F.octet_length(text).cast("string"), F.lit(" bytes, "), fingerprint(text), F.lit("]"))).otherwise(text)
+    """A text beyond ``limit`` bytes as its beginning and its end, whole characters of at most half of that each.
+
+    Between them stand the number of bytes left out and the digest of the whole, so that equal samples mean equal texts.
+    """
+    raw, half = F.encode(text, "UTF-8"), limit // 2
+    first = _whole(raw, F.lit(half + 1), -1)
+    last = _whole(raw, F.length(raw) - half + 1, 1)
+    head, tail = F.decode(F.substring(raw, F.lit(1), first - 1), "UTF-8"), F.decode(F.substring(raw, last, F.length(raw)), "UTF-8")
+    mark = F.concat(F.lit(" … ["), (last - first).cast("string"), F.lit(" bytes, "), fingerprint(text), F.lit("] … "))
+    return F.when(F.octet_length(text) > limit, F.concat(head, mark, tail)).otherwise(text)
 
 
 def substituted(template: Column, values: Column) -> Column:

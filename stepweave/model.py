@@ -107,3 +107,11 @@ class Config:
 
     def active(self, rule: str) -> bool:
         return self.rules[rule] != "off"
+
+
+def rule_override(text: str) -> dict[str, str]:
+    """``rule=severity`` as a layer of rules."""
+    rule, _, severity = text.partition("=")
+    if rule not in RULE_RANK or severity not in SEVERITIES:
+        raise ValueError(f"{text} is no rule with a severity")
+    return {rule: severity}

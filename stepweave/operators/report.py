@@ -22,7 +22,7 @@ from stepweave.operators import modes
 from stepweave.plans.analyze import Result
 
 MAX_FINDINGS, MAX_BYTES, MAX_MEMBERS, MAX_TEXT = 10_000, 16 << 20, 256, 2000
-BASELINE_VERSION = 1
+BASELINE_VERSION, MAX_BASELINE = 1, 1_000_000
 SARIF = "2.1.0"
 
 
@@ -159,10 +159,16 @@ def replace_file(path: str, text: str) -> None:
 
 
 def write_baseline(result: Result, path: str) -> None:
-    """K9: counts by fingerprint, sorted; refused for an incomplete result."""
+    """K9: counts by fingerprint, sorted; refused for an incomplete result, or beyond MAX_BASELINE of them.
+
+    The file is one JSON object, so it is made in one place; ``modes.baseline_counts`` as a table has no such limit.
+    """
     if result.incomplete:
         raise ValueError("an incomplete result is no baseline")
-    counts = {r["fingerprint"]: r["n"] for r in modes.baseline_counts(result.findings).collect()}
+    rows = modes.baseline_counts(result.findings).limit(MAX_BASELINE + 1).collect()
+    if len(rows) > MAX_BASELINE:
+        raise ValueError(f"more than {MAX_BASELINE} fingerprints: write baseline_counts as a table")
+    counts = {r["fingerprint"]: r["n"] for r in rows}
     replace_file(path, json.dumps({"schemaVersion": BASELINE_VERSION, "fingerprints": dict(sorted(counts.items()))}, indent=1))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.matchers import jvm_expression
@@ -41,10 +41,11 @@ def ambiguities(steps: DataFrame, matches: DataFrame) -> DataFrame:
     return steps.join(groups, "text").groupBy("location", "members").agg(F.count("*").alias("expansions"), F.min("step_seq").alias("first_seq"), F.min_by("text", "step_seq").alias("text"))
 
 
-def ambiguity_message(expansions: str = "expansions", text: str = "text", members: str = "members"):
-    """A3."""
+def ambiguity_message(expansions: str = "expansions", text: str = "text", members: str = "members", partial: Column | None = None):
+    """A3: of one step or of an outline's expansions; ``partial`` marks members that are known in part only."""
     many = F.when(F.col(expansions) > 1, F.concat(F.lit(" in "), F.col(expansions).cast("string"), F.lit(" expansions"))).otherwise("")
-    return F.concat(F.lit("Step `"), F.col(text), F.lit("` is accepted by "), F.size(members).cast("string"), F.lit(" definitions"), many)
+    least = F.when(partial, "at least ").otherwise("") if partial is not None else F.lit("")
+    return F.concat(F.lit("Step `"), F.col(text), F.lit("` is accepted by "), least, F.size(members).cast("string"), F.lit(" definitions"), many)
 
 
 def proven_pairs(ambiguous: DataFrame) -> DataFrame:
@@ -78,13 +79,32 @@ def unused(prepared: DataFrame, used_ids: DataFrame) -> DataFrame:
     return prepared.where("not positional").join(used_ids, "def_id", "left_anti").select("def_id")
 
 
-def merged_parameter_types(declared: DataFrame, config: Config) -> tuple[dict[str, str], bool]:
-    """Names to expressions; a name declared twice or without expression is unknown. (types, withdrawn).
+#: So many parameter types may be in force; each becomes part of expressions, so more of them are refused, not dropped.
+MAX_TYPES = 100_000
+
+
+class TooManyTypes(ValueError):
+    """More parameter types than expressions can be built from."""
+
 
-    ``declared``: name, expression. A declaration without a name withdraws all of them.
+def parameter_types(declared: DataFrame, configured: DataFrame) -> DataFrame:
+    """Name, expression of the types in force, of two tables (name, expression).
+
+    A declaration replaces configuration; one that is made twice or has no expression leaves its name unknown; one without
+    a name withdraws all of them, as it may be any.
     """
-    if not declared.where("name is null").isEmpty():
-        return {}, True
-    own = declared.groupBy("name").agg(F.count("*").alias("n"), F.max("expression").alias("expression")).limit(100_000).collect()
-    types = {k: v for k, v in config.parameter_types.items() if k not in {r["name"] for r in own}}
-    return types | {r["name"]: r["expression"] for r in own if r["n"] == 1 and r["expression"] is not None}, False
+    own = declared.groupBy("name").agg(F.count("*").alias("n"), F.max("expression").alias("expression"))
+    sure = own.where("n = 1 and expression is not null and name is not null").select("name", "expression")
+    kept = configured.select("name", "expression").join(own.select("name"), "name", "left_anti").unionByName(sure)
+    withdrawn = own.agg(F.coalesce(F.bool_or(F.col("name").isNull()), F.lit(False)).alias("withdrawn"))
+    return kept.crossJoin(withdrawn).where("not withdrawn").drop("withdrawn")  # one row
+
+
+def merged_parameter_types(declared: DataFrame, config: Config) -> tuple[dict[str, str], bool]:
+    """(types in force as a dictionary, whether all are withdrawn)."""
+    spark = declared.sparkSession
+    configured = spark.createDataFrame([*config.parameter_types.items()], "name string, expression string")
+    rows = parameter_types(declared, configured).limit(MAX_TYPES + 1).collect()
+    if len(rows) > MAX_TYPES:
+        raise TooManyTypes(f"more than {MAX_TYPES} parameter types")
+    return {r["name"]: r["expression"] for r in rows}, not declared.where("name is null").isEmpty()

@@ -69,7 +69,7 @@ def pair_findings(checked: DataFrame, d: DataFrame, config: Config) -> DataFrame
     known = _described(edges, d, config).withColumn("reason", _reason(config)).withColumn("suppressed", F.col("reason").isNotNull())
     slim = durable(known.select("rule", "suppressed", "reason", "a", "b", "score", "handler_score"))
     tree = durable(forest.spanning_forest(slim, ["rule", "suppressed"]))
-    exact = tree.where(F.col("rule").isin(*CLUSTER_RULES))
+    exact = tree.where(modes.supports_cluster(F.col("rule")))
     grouped = exact.withColumn("why", F.coalesce("reason", F.lit("")))
     found = forest.clusters(grouped, ["rule", "suppressed", "why"])
     inside = found.select("rule", "suppressed", "why", F.explode("members").alias("a"))

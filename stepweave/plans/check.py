@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import subprocess
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.model import Config
-from stepweave.operators import modes, report
+from stepweave.operators import modes, report, usage
 from stepweave.plans.analyze import Result, analyze
 from stepweave.sources import code, files, gherkin
 
@@ -38,23 +38,40 @@ def corpus(spark: SparkSession, root: str, config: Config) -> tuple[DataFrame, D
     definitions, said = code.definitions(sources.where("excluded is null and content is not null"))
     texts = files.read_files(spark, found.features)
     steps, errors = gherkin.feature_steps(texts)
+    if not gherkin.within_budget(steps):
+        raise files.BudgetExceeded(f"more than {gherkin.MAX_STEPS} steps or {gherkin.MAX_BYTES} bytes of them below {root}")
     bad = [f"{r.path}: {r.error}" for r in errors.collect()]
     lost = [f"{r.path}: {r.excluded or 'not UTF-8'}" for r in sources.where("excluded is not null or content is null").select("path", "excluded").collect()]
     spoken = [r.message for r in said.collect()]
     return definitions, steps, [*[f"no file for {p}" for p in found.unmatched], *spoken, *lost, *bad], bool(found.features) and not bad
 
 
-def check(spark: SparkSession, root: str, config: Config | None = None, baseline: DataFrame | None = None, changed: list[str] | None = None, reference: str | None = None) -> Outcome:
-    """Run everything; ``reference`` is another tree whose findings are the baseline."""
+def check(spark: SparkSession, root: str, config: Config | None = None, baseline: DataFrame | str | None = None, changed: list[str] | None = None, reference: str | None = None, update_baseline: bool = False, strict: bool = False, indirect: DataFrame | None = None, declared: DataFrame | None = None) -> Outcome:
+    """Run everything. ``baseline``: counts by fingerprint or the path of a baseline file, written if ``update_baseline``.
+
+    ``reference`` is another tree whose findings are the baseline (U15). ``strict`` raises where the result is incomplete.
+    ``indirect`` (text): steps that code calls. ``declared`` (name, expression): parameter types found in code (J13).
+    """
     config = config or files.merged_config(files.config_layer(root))
     definitions, steps, said, complete = corpus(spark, root, config)
-    result = analyze(definitions, steps, config)
+    if declared is not None:
+        types, withdrawn = usage.merged_parameter_types(declared, config)
+        config = replace(config, parameter_types=types)
+        said = said + ["parameter types are unknown: one is declared without a name"] * withdrawn
+    notes = [f"suppression {k + 1} selects no definition" for k in modes.unmatched_suppressions(definitions, config.suppressions)]
+    result = analyze(definitions, steps, config, indirect, strict)
     findings = modes.without_unused(result.findings, complete)
+    name = reference or (baseline if isinstance(baseline, str) else "file")
+    if isinstance(baseline, str):
+        if update_baseline:
+            result.findings = findings
+            report.write_baseline(result, baseline)
+        baseline = report.read_baseline(spark, baseline, update_baseline)
     if reference is not None:
         d, s, _, ok = corpus(spark, reference, config)
         baseline = modes.baseline_counts(modes.without_unused(analyze(d, s, config).findings, ok))
     if baseline is not None:
-        findings = modes.apply_baseline(findings, baseline, reference or "file")
+        findings = modes.apply_baseline(findings, baseline, name)
     if changed is not None:
         findings = modes.retain_changed(findings, definitions, spark.createDataFrame([(p,) for p in changed], "path string"))
     result.findings = findings
@@ -62,7 +79,7 @@ def check(spark: SparkSession, root: str, config: Config | None = None, baseline
     threshold = modes.duplication_threshold(findings, definitions, config.threshold)
     counts = modes.summary(findings).first()
     status = modes.exit_code(threshold, findings, config, bool(result.incomplete), n_definitions, n_steps, len(said))
-    return Outcome(result, status, n_definitions, n_steps, threshold.first().asDict(), counts["by_rule"] or {}, said)
+    return Outcome(result, status, n_definitions, n_steps, threshold.first().asDict(), counts["by_rule"] or {}, said + notes)
 
 
 def check_and_report(spark: SparkSession, root: str, config: Config | None = None, **options) -> tuple[Outcome, list[str]]:

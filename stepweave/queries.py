@@ -441,18 +441,22 @@ def duplication_share(spark, sf_dir):
     return modes.duplication_threshold(f.join(twice, "fingerprint", "left_semi"), f.select(F.col("seq").alias("def_id")), 10.0)
 
 
-@query("select count(*) filter (lang = 'en') errors, count(*) filter (lang <> 'en') warnings, 0::bigint suppressed from documents")
+@query("select count(*) filter (lang = 'en') errors, count(*) filter (lang <> 'en') warnings, 0::bigint suppressed, 'duplicate-matcher=' || count(*) by_rule from documents")
 def finding_summary(spark, sf_dir):
     """A8."""
-    return modes.summary(document_findings(spark, sf_dir)).drop("by_rule")
+    listed = F.array_join(F.transform(F.map_entries("by_rule"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return modes.summary(document_findings(spark, sf_dir)).withColumn("by_rule", listed)
 
 
 @query("select doc_id seq from documents order by case lang when 'en' then 0 else 1 end, doc_id limit 500")
 def report_selection(spark, sf_dir):
     """What a bounded report shows; the limit is the feature."""
-    from stepweave.operators.report import priority
+    from stepweave.operators.report import top
+    from stepweave.report_queries import document_result
 
-    return document_findings(spark, sf_dir).orderBy(priority(), "seq").limit(500).select("seq")
+    r = document_result(spark, sf_dir)
+    shown = top(r.findings.withColumn("reason", F.lit(None).cast("string")), r.definitions, most=500)
+    return spark.createDataFrame([(f["seq"],) for f in shown], "seq bigint")
 
 
 @query(f"""with d as (select * from {PARTS}), {_spanning_sql('d', 'normalized', 'matcher')},
@@ -537,3 +541,5 @@ def distinct_texts(spark, sf_dir):
 def entry(spark: SparkSession) -> DataFrame:
     return duplicate_matcher_groups(spark, "/root/testdata/sf0.001")
 
+
+from stepweave import report_queries  # noqa: E402, F401  (registers its own)

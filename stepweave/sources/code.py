@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.model import DEFINITIONS
+from stepweave.plans.durable import durable
 
 NAMES = set("And But Given Step Then When defineStep".split())
 MODULES = {"@cucumber/cucumber": "cucumber", "cucumber": "cucumber", "@badeball/cypress-cucumber-preprocessor": "cypress", "cypress-cucumber-preprocessor/steps": "cypress", "playwright-bdd": "playwright-bdd", "playwright-bdd/decorators": "playwright-bdd", "jest-cucumber": "jest", "@amiceli/vitest-cucumber": "vitest"}
@@ -328,25 +329,22 @@ def adapter_for(path: str):
 
 
 def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(definitions without def_id and normalized_matcher, diagnostics) of ``files`` (path, content string)."""
+    """(definitions without def_id and normalized_matcher, diagnostics) of ``files`` (path, content string), parsed once."""
     fields = [x for x in field_names() if x not in ("def_id", "normalized_matcher")]
     spark = files.sparkSession
-    schema = spark.createDataFrame([], DEFINITIONS).select(*fields).schema
+    shape = spark.createDataFrame([], DEFINITIONS).select(*fields, F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("message"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch.path, batch.content):
                 if content is not None and (adapter := adapter_for(path)):
-                    rows += adapter(path, content)[0]
-            yield pd.DataFrame([[r[f] for f in fields] for r in rows], columns=fields)
+                    found, said = adapter(path, content)
+                    rows += [[*(r[f] for f in fields), path, None] for r in found] + [[*(None for _ in fields), path, m] for m in said]
+            yield pd.DataFrame(rows, columns=[*fields, "path", "message"], dtype=object)
 
-    def say(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(p, x) for p, c in zip(batch.path, batch.content) if c is not None and adapter_for(p) for x in adapter_for(p)(p, c)[1]], columns=["path", "message"])
-
-    own = files.select("path", "content")
-    return own.mapInPandas(run, schema), own.mapInPandas(say, "path string, message string")
+    both = durable(files.select("path", "content").mapInPandas(run, shape.schema))
+    return both.where("message is null").select(*fields), both.where("message is not null").select("path", "message")
 
 
 def field_names() -> list[str]:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.keys import substituted
@@ -195,8 +195,11 @@ def expanded(steps: DataFrame, examples: DataFrame) -> DataFrame:
 
 def feature_steps(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(steps with step_seq in location order, errors by path)."""
-    own, rows = templates(files)
     from stepweave.plans.analyze import sequenced
+    from stepweave.plans.durable import durable
+
+    own, rows = templates(files)
+    own = durable(own)  # steps and errors are read from it
 
     steps = expanded(own, rows)
     listed = steps.select(F.struct("location", "row").alias("seq_key"), "keyword", "text", "location")
@@ -207,8 +210,3 @@ def within_budget(steps: DataFrame, most: int = MAX_STEPS, most_bytes: int = MAX
     """G6."""
     n, size = steps.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     return n <= most and size <= most_bytes
-
-
-def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first n rows of each key, e.g. for previews."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("step_seq"))).where(F.col("_n") <= n).drop("_n")
