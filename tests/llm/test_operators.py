@@ -349,6 +349,34 @@ def test_suffix_dedup_against_all_windows(spark, tmp_path):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), k
 
 
+def test_suffix_dedup_of_odd_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 4096)  # the long text is beyond it
+    r = random.Random(2)
+    text = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    shared, long = text(120), text(20_000)
+    rows = [(1, shared + text(70)), (5, text(60) + shared), (5, shared + text(90)), (5, shared + text(90)), (None, shared), (None, None), (7, long), (8, text(30) + long[9000:9400]), (9, None), (9, ""), (3, shared), (3, shared)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, "clash") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = {}
+    for k, t in rows:
+        raw = (t or "").encode()
+        for a in range(len(raw) - 49) if k is not None else ():
+            held[raw[a : a + 50]] = min(held.get(raw[a : a + 50], k), k)
+    want = []
+    for k, t in rows:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for a in range(len(raw) - 49) if k is not None else ():
+            if held[raw[a : a + 50]] < k:
+                gone[a : a + 50] = True
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want.append((-1 if k is None else k, len(raw), int(gone.sum()), runs, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest()))
+    got = [(-1 if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert suffix_dedup.op6_suffix_dedup(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_split_anchors_and_long_texts_change_nothing(spark, monkeypatch):
     texts = corpus(3, 25)
     view = lambda most: sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removals(table(spark, texts), most_variants=most).collect())
