@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions import keys
@@ -179,3 +179,20 @@ def located_pairs(spark, sf_dir):
 def long_texts(spark, sf_dir):
     """Which texts are shown in part only; the cuts themselves are tested against Python."""
     return read(spark, sf_dir, "documents").select("doc_id", (keys.sampled(F.col("text"), 200) != F.col("text")).alias("shorter"))
+
+
+_TONGUES = sorted(gherkin.DIALECTS)
+_STEPS = [next(k for k in gherkin.DIALECTS[d][6] if k != "*") for d in _TONGUES]
+
+
+@query(f"""with t as (select *, row_number() over (order by n_nationkey) - 1 k from nation), w as (select [{', '.join(f"'{x}'" for x in _STEPS)}] words)
+select 'features/' || n_name || '.feature' path, words[k % {len(_TONGUES)} + 1] keyword, 'n' || n_nationkey || ' ' || v as text from t, w, (values ('one'), ('two')) x(v)""")
+def localized_steps(spark, sf_dir):
+    """An outline a nation, each in the next dialect."""
+    rows = read(spark, sf_dir, "nation").select("n_name", "n_nationkey", F.rank().over(Window.orderBy("n_nationkey")).alias("k"))  # a fixed table of 25
+    words = [F.array(*[F.lit(next(k for k in gherkin.DIALECTS[d][which] if k != "*")) for d in _TONGUES]) for which in (0, 4, 5, 6)]
+    feature, outline, examples, step = (F.element_at(w, ((F.col("k") - 1) % len(_TONGUES) + 1).cast("int")) for w in words)
+    tongue = F.element_at(F.array(*map(F.lit, _TONGUES)), ((F.col("k") - 1) % len(_TONGUES) + 1).cast("int"))
+    text = F.concat(F.lit("# language: "), tongue, F.lit("\n"), feature, F.lit(": f\n  "), outline, F.lit(": o\n    "), step, F.lit(" n"), F.col("n_nationkey").cast("string"), F.lit(" <v>\n    "), examples, F.lit(":\n      | v |\n      | one |\n      | two |\n"))
+    steps, errors = gherkin.feature_steps(rows.select(F.concat(F.lit("features/"), "n_name", F.lit(".feature")).alias("path"), text.alias("content")))
+    return steps.select("location.path", "keyword", "text")

@@ -23,8 +23,36 @@ DIALECTS = {
     "de": (["Funktionalität", "Funktion"], ["Grundlage", "Hintergrund", "Voraussetzungen"], ["Regel", "Rule"], ["Szenario", "Beispiel"], ["Szenariogrundriss", "Szenarien"], ["Beispiele"], ["Angenommen", "Gegeben sei", "Gegeben seien", "Wenn", "Dann", "Und", "Aber", "*"]),
 }
 DIALECTS["ja"] = (["機能", "フィーチャ"], ["背景"], ["ルール"], ["シナリオ"], ["シナリオアウトライン", "シナリオテンプレート", "テンプレ", "シナリオテンプレ"], ["例", "サンプル"], ["前提", "もし", "ならば", "かつ", "且つ", "しかし", "ただし", "但し", "*"])
+
+
+def _dialect(feature: str, background: str, rule: str, scenario: str, outline: str, examples: str, steps: str) -> tuple[list[str], ...]:
+    """Keywords from lists parted by ``|``; ``*`` is a step in every dialect."""
+    return tuple(x.split("|") for x in (feature, background, rule, scenario, outline, examples, steps + "|*"))
+
+
+DIALECTS |= {
+    "it": _dialect("Funzionalità|Esigenza di business|Abilità", "Contesto", "Regola", "Scenario|Esempio", "Schema dello scenario", "Esempi", "Dato|Data|Dati|Date|Quando|Allora|E|Ma"),
+    "pt": _dialect("Funcionalidade|Característica|Caracteristica", "Contexto|Cenário de Fundo|Cenario de Fundo|Fundo", "Regra", "Cenário|Cenario|Exemplo", "Esquema do Cenário|Esquema do Cenario|Delineação do Cenário|Delineacao do Cenario", "Exemplos|Cenários|Cenarios", "Dado|Dada|Dados|Dadas|Quando|Então|Entao|E|Mas"),
+    "nl": _dialect("Functionaliteit", "Achtergrond", "Regel|Rule", "Scenario|Voorbeeld", "Abstract Scenario", "Voorbeelden", "Gegeven|Stel|Als|Wanneer|Dan|En|Maar"),
+    "pl": _dialect("Właściwość|Funkcja|Aspekt|Potrzeba biznesowa", "Założenia", "Zasada|Reguła", "Scenariusz|Przykład", "Szablon scenariusza", "Przykłady", "Zakładając, że|Zakładając|Mając|Jeżeli|Jeśli|Gdy|Kiedy|Wtedy|Oraz|I|Ale"),
+    "ru": _dialect("Функция|Функциональность|Функционал|Свойство", "Предыстория|Контекст", "Правило", "Сценарий|Пример", "Структура сценария|Шаблон сценария", "Примеры", "Допустим|Дано|Пусть|Когда|Если|То|Затем|Тогда|И|К тому же|Также|Но|А|Иначе"),
+    "uk": _dialect("Функціонал", "Передумова", "Правило", "Сценарій|Приклад", "Структура сценарію", "Приклади", "Припустимо, що|Припустимо|Нехай|Дано|Якщо|Коли|То|Тоді|І|А також|Та|Але"),
+    "sv": _dialect("Egenskap", "Bakgrund", "Regel", "Scenario", "Abstrakt Scenario|Scenariomall", "Exempel", "Givet|När|Så|Och|Men"),
+    "da": _dialect("Egenskab", "Baggrund", "Rule", "Scenarie|Eksempel", "Abstrakt Scenario", "Eksempler", "Givet|Når|Så|Og|Men"),
+    "no": _dialect("Egenskap", "Bakgrunn", "Regel", "Scenario|Eksempel", "Scenariomal|Abstrakt Scenario", "Eksempler", "Gitt|Når|Så|Og|Men"),
+    "fi": _dialect("Ominaisuus", "Tausta", "Rule", "Tapaus", "Tapausaihio", "Tapaukset", "Oletetaan|Kun|Niin|Ja|Mutta"),
+    "cs": _dialect("Požadavek", "Pozadí|Kontext", "Pravidlo", "Scénář|Příklad", "Náčrt Scénáře|Osnova scénáře", "Příklady", "Pokud|Za předpokladu|Když|Pak|A také|A|Ale"),
+    "tr": _dialect("Özellik", "Geçmiş", "Kural", "Senaryo|Örnek", "Senaryo taslağı", "Örnekler", "Diyelim ki|Eğer ki|O zaman|Ve|Fakat|Ama"),
+    "hu": _dialect("Jellemző", "Háttér", "Szabály", "Forgatókönyv|Példa", "Forgatókönyv vázlat", "Példák", "Amennyiben|Adott|Majd|Ha|Amikor|Akkor|És|De"),
+    "ro": _dialect("Functionalitate|Funcționalitate|Funcţionalitate", "Context", "Rule", "Scenariu|Exemplu", "Structura scenariu|Structură scenariu", "Exemple", "Date fiind|Dat|Dată|Dați|Daţi|Cand|Când|Atunci|Si|Și|Şi|Dar"),
+    "id": _dialect("Fitur", "Dasar|Latar Belakang", "Aturan|Rule", "Skenario", "Skenario konsep|Garis-Besar Skenario", "Contoh|Misal", "Dengan|Diketahui|Diasumsikan|Bila|Jika|Ketika|Maka|Dan|Tapi|Tetapi"),
+    "ca": _dialect("Característica|Funcionalitat", "Rerefons|Antecedents", "Rule", "Escenari|Exemple", "Esquema de l'escenari", "Exemples", "Donat|Donada|Atès|Atesa|Quan|Aleshores|Cal|I|Però"),
+    "zh-CN": _dialect("功能", "背景", "规则|Rule", "场景|剧本", "场景大纲|剧本大纲", "例子", "假如|假设|假定|当|那么|而且|并且|同时|但是"),
+    "zh-TW": _dialect("功能", "背景", "Rule", "場景|劇本", "場景大綱|劇本大綱", "例子", "假如|假設|假定|當|那麼|而且|並且|同時|但是"),
+    "ko": _dialect("기능", "배경", "규칙|Rule", "시나리오", "시나리오 개요", "예", "조건|먼저|만일|만약|그러면|그리고|하지만|단"),
+}
 #: Dialects whose step keywords need no blank after them.
-SPACELESS = {"ja"}
+SPACELESS = {"ja", "zh-CN", "zh-TW", "ko"}
 MAX_STEPS, MAX_BYTES = 250_000, 64 << 20
 
 

@@ -107,3 +107,14 @@ def test_steps_as_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = [(r.n_steps, r.n_undefined, r.n_ambiguous) for r in spark.table("told").orderBy("window.start").collect()]
     assert got == [(3, 1, 1), (1, 0, 0)]
+
+
+def test_every_dialect_is_read():
+    from stepweave.sources import gherkin
+
+    for name, (feature, background, _, scenario, outline, examples, steps) in gherkin.DIALECTS.items():
+        for word in (w for w in steps if w != "*"):
+            text = f"# language: {name}\n{feature[-1]}: f\n  {background[-1]}:\n    {word} zero\n  {scenario[0]}: s\n    {word} one\n    * two\n  {outline[-1]}: o\n    {word} <x>\n    {examples[-1]}:\n      | x |\n      | 1 |\n"
+            found = gherkin.parse(text)
+            assert [s[1] for x in found for s in x.steps] == ["zero", "one", "two", "<x>"], (name, word)
+            assert [x.examples for x in found if x.examples] == [[[["x"], ["1"]]]], (name, word)
