@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from stepweave import model
-from stepweave.operators import forest, modes, report
+from stepweave.operators import components, forest, modes, report
 from stepweave.operators.components import connected_components
 from stepweave.plans.analyze import analyze
 
@@ -121,6 +121,19 @@ def test_components_of_a_long_path_and_odd_edges(spark):
     assert got == {**{k: 0 for k in range(301)}, 900: 900, 700: 700, 701: 700}
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    cuts, cut = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df: cuts.append(1) or cut(df))
+    r = random.Random(4)
+    path = [r.getrandbits(63) - 2**62 for _ in range(300)]
+    edges = spark.createDataFrame([*zip(path, path[1:]), (5, 5), (None, 6)] + [(r.randrange(100), r.randrange(100)) for _ in range(60)], "u bigint, v bigint")
+    found = lambda: {x.node: x.component for x in connected_components(edges).collect()}
+    at_once = found()
+    assert len(cuts) == 2 and {at_once[x] for x in path} == {min(path)}
+    monkeypatch.setattr(components, "LOCAL", 10)
+    assert found() == at_once and len(cuts) > 5
+
+
 def test_reports(spark, tmp_path):
     rows = [definition(i, "a <b> ‮matcher", path="dir with space/é.ts") for i in range(6)]
     result, _ = run(spark, rows, **only("duplicate-matcher"))
