@@ -256,10 +256,11 @@ def _matched(shards: int):
             for d in np.flatnonzero(np.diff(cuts)).tolist():
                 rows.append((-1, b"", ids[d : d + 1].tobytes(), keys[d : d + 1].tobytes(), merged(spans[cuts[d] : cuts[d + 1]]).astype("<i8").tobytes(), b"", b""))
             ship, split = what == SHIP, np.flatnonzero(what == SPLIT)
-            first = [start[ship], *[np.arange(start[k], end[k] - MIN + 1) for k in split]]
-            last = [end[ship], *[np.arange(start[k] + MIN, end[k] + 1) for k in split]]
-            whose = [owner[ship], *[np.full(end[k] - MIN + 1 - start[k], owner[k]) for k in split]]
-            group = [anchor[ship], *[_keys(raw, x) for x in first[1:]]]
+            many = end[split] - MIN + 1 - start[split]
+            window = np.repeat(start[split] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            first, last = [start[ship], window], [end[ship], window + MIN]
+            whose = [owner[ship], np.repeat(owner[split], many)]
+            group = [anchor[ship], _keys(raw, window)]  # all at once: a call for each snippet took most of a hot anchor's time
             first, last, whose, group = (np.concatenate(x) for x in (first, last, whose, group))
             order = np.argsort(group, kind="stable")
             first, last, whose, group = first[order], last[order], whose[order], group[order]
@@ -329,11 +330,14 @@ def _compared(table: pa.Table) -> pa.Table:
     anchor, doc, key, start, size = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("anchor", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("size", "<i8")))
     byte = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
     order = np.argsort(anchor, kind="stable")
+    group = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
+    alone = np.minimum.reduceat(doc[order], group) == np.maximum.reduceat(doc[order], group)  # as most windows of a hot anchor are
+    order = order[~np.repeat(alone, np.diff(np.append(group, len(order))))]
     begin = (np.cumsum(size) - size)[order]
     anchor, doc, key, start, size = anchor[order], doc[order], key[order], start[order], size[order]
     at = np.concatenate([[0], np.cumsum(size)])
     byte = byte[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
-    edges = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    edges = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)])
     edges = np.append(edges, len(anchor))
     found = []
     a = 0

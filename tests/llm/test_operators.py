@@ -390,6 +390,32 @@ def test_split_anchors_and_long_texts_change_nothing(spark, monkeypatch):
     assert windows(cut) == windows(whole) == set(range(len(raw) - 49))
 
 
+def test_a_hot_anchor_costs_few_calls_and_lone_windows_no_sorting(monkeypatch):
+    r = random.Random(8)
+    tail = lambda: "".join(r.choice("abcdefgh ") for _ in range(60))
+    texts = [tail() + "one passage that all of them share, word for word, and more" + tail() for _ in range(200)] + [tail()]
+    ids, keys = np.arange(201), np.arange(201) + 1000
+    owner, _, _, anchor, snip, _ = suffix_dedup.snippets(*suffix_dedup.text_bytes(pa.array(texts)))
+    answers = []
+    for d in range(201):
+        own = np.zeros((owner == d).sum(), suffix_dedup.ANSWER)
+        own["anchor"], own["snip"], own["what"] = anchor[owner == d], snip[owner == d], suffix_dedup.SPLIT
+        answers.append([own.tobytes()])
+    calls, sorted_bytes, hashed, expanded = [], [], suffix_dedup._keys, suffix_dedup.equal_intervals
+    monkeypatch.setattr(suffix_dedup, "_keys", lambda raw, first: calls.append(1) or hashed(raw, first))
+    monkeypatch.setattr(suffix_dedup, "equal_intervals", lambda text: sorted_bytes.append(len(text)) or expanded(text))
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "key": keys, "text": texts, "answers": answers})
+    sent = pa.Table.from_batches(suffix_dedup._matched(1)(iter([batch])))
+    assert len(calls) == 1
+    got = {x["doc_id"]: np.frombuffer(x["spans"], "<i8").reshape(-1, 2).tolist() for x in suffix_dedup._compared(sent).to_pylist()}
+    seen, want = {}, {}
+    for k, x in enumerate(texts):
+        starts = [a for a in range(len(x) - 49) if seen.setdefault(x[a : a + 50], k) < k]
+        if starts:
+            want[k] = suffix_dedup.merged(np.array([[a, a + 50] for a in starts])).tolist()
+    assert got == want and len(want) == 199 and sum(sorted_bytes) < 51 * 200 * 20
+
+
 def test_many_variants_of_an_anchor_stay_apart():
     r = np.random.default_rng(3)
     grams = r.integers(97, 123, (500_000, 16)).astype(np.uint8)
