@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from stepweave.llm import ann, decontaminate, hmm, language_id, near_dup, secrets, simhash, suffix_dedup, url_filter
+from stepweave.operators import components as components_module
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, spans string, rid string"
@@ -73,6 +74,14 @@ def test_simhash_against_all_pairs(spark):
     assert [got[k].component_id for k in range(len(texts))] == want
 
 
+def test_simhash_links_take_no_rounds_while_they_are_few(spark, monkeypatch):
+    cuts, cut = [], components_module.durable
+    monkeypatch.setattr(components_module, "durable", lambda df: cuts.append(1) or cut(df))
+    texts = corpus()[-20:]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert [got[k] for k in range(20)] == components([fingerprint(t) for t in texts], range(20), 4) and len(cuts) == 2
+
+
 @pytest.mark.parametrize("threshold,block", [(4, 2048), (3, 2), (1, 2048), (6, 3)])
 def test_anchors_cover_every_close_pair(spark, threshold, block):
     r = random.Random(threshold)
