@@ -31,6 +31,30 @@ def test_encoder_equals_the_library(texts):
         assert ids[starts[k] : starts[k + 1]].tolist() == library_ids(text)
 
 
+def test_plain_words_cost_no_python_calls():
+    import cProfile
+    import pstats
+
+    r, encoder = random.Random(2), Encoder(vocabulary())
+    words = list({"".join(r.choices("abcdefghijklmnoprstuvwz", k=8)) for _ in range(20_000)})
+    text = " ".join(w.title() + r.choice(["", ",", "..."]) for w in words)
+    profile = cProfile.Profile()
+    _, ids = profile.runcall(encoder.encode, pa.array([text]))
+    assert ids.tolist() == library_ids(text)
+    assert pstats.Stats(profile).total_calls < len(words)
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    monkeypatch.setattr("stepweave.llm.tokens.CACHE_STEMS", 30)
+    r, encoder = random.Random(4), Encoder(vocabulary())
+    words = [w for text in ODD if text for w in text.split()] + [f"naïve{k}" for k in range(40)] + ["Größe,", "été?!", "plain", "words;"] * 5
+    for _ in range(60):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 12))) for _ in range(3)]
+        starts, ids = encoder.encode(pa.array(texts))
+        assert [ids[starts[k] : starts[k + 1]].tolist() for k in range(3)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.names) <= 30 + 2 * 36
+
+
 def test_records_round_trip(spark, tmp_path):
     rows = [(k if k != 3 else None, t, "x", "clash") for k, t in enumerate(ODD)] + [(1, "", "x", "")]
     manifest = token_output.write_records(spark.createDataFrame(rows, SCHEMA).repartition(3), f"file://{tmp_path}", vocabulary())
