@@ -47,14 +47,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
         encoder = Encoder.at(tokenizer)
         for batch in slices(batches, limit=2 << 20):
             starts, ids = encoder.encode(batch.column("text"))
-            rows: list[tuple] = []
-            for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-                own = np.append(ids[starts[k] : starts[k + 1]], np.uint32(end_id)).astype("<u4")
-                for piece, at in enumerate(range(0, len(own), size)):
-                    part = own[at : at + size]
-                    rows.append((doc, piece, at, len(part), zlib.crc32(part.tobytes())))
-            doc, piece, at, length, crc = zip(*rows)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(at, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+            whole = np.insert(ids, starts[1:], end_id).astype("<u4")
+            begins = starts + np.arange(len(starts))  # of the documents with their end ids
+            n = -(-np.diff(begins) // size)
+            piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first = np.repeat(begins[:-1], n) + piece * size
+            last = np.minimum(first + size, np.repeat(begins[1:], n))
+            raw = memoryview(whole).cast("B")
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip((first * 4).tolist(), (last * 4).tolist())]
+            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(last - first), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return picked(docs, doc_id=id_col, text=text_col).mapInArrow(cut, PIECE)
 

@@ -109,6 +109,29 @@ def test_packing_cuts_and_fills(spark):
     assert sum(r.length for r in got) == sum(len(library_ids(r[1])) + 1 for r in rows)
 
 
+def test_cutting_costs_a_checksum_a_piece(monkeypatch):
+    import cProfile
+    import pstats
+
+    made = []
+    monkeypatch.setattr(packing, "picked", lambda docs, **_: docs)
+    docs = type("Docs", (), {"mapInArrow": lambda self, run, schema: made.append(run)})()
+    packing.pieces(docs, vocabulary(), 4)
+    texts = ["a b c d e f g h i"[: k % 18] for k in range(6000)] + [None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(6000)], pa.int64()), "text": pa.array(texts)})
+    Encoder.at(vocabulary()).encode(batch.column("text"))
+    profile = cProfile.Profile()
+    got = [r for b in profile.runcall(lambda: list(made[0](iter([batch])))) for r in b.to_pylist()]
+    want = []
+    for doc, text in zip([None, *range(6000)], texts):
+        ids = [*Encoder.at(vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 4)):
+            part = ids[at : at + 4]
+            want.append({"doc_id": doc, "piece": k, "start": at, "length": len(part), "ids_crc32": zlib.crc32(np.array(part, "<u4").tobytes())})
+    assert got == want
+    assert pstats.Stats(profile).total_calls < 1.5 * len(want)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_local_search_never_worsens(seed):
     r = random.Random(seed)
