@@ -203,7 +203,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, homes_per_block: int
     # some hundred replicas a row: without a spread, a few tasks that read a small table would make them all
     spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     replica = distinct.repartition(spread, "fp").mapInArrow(_anchored(threshold), "anchor long, fp long")
-    met = replica.join(blocks, "anchor").select("fp", F.filter("homes", lambda h: (h != F.col("fp")) & (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= threshold)).alias("near")).where(F.size("near") > 0)
+    # the planner takes the replicas for as small as the fingerprints that they come from and would broadcast them by the driver
+    met = replica.join(blocks.hint("merge"), "anchor").select("fp", F.filter("homes", lambda h: (h != F.col("fp")) & (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= threshold)).alias("near")).where(F.size("near") > 0)
     star = met.select(F.array_min("near").alias("v"), F.explode(F.array_append("near", F.col("fp"))).alias("u"))
     return star.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 

@@ -93,6 +93,12 @@ def test_anchors_cover_every_close_pair(spark, threshold, block):
     assert [found.get(p, p) for p in signed] == components(prints, signed, threshold)
 
 
+def test_replicas_are_never_broadcast(spark):
+    edges = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "SortMergeJoin [anchor" in plan
+
+
 def test_deduplicated_keeps_columns_and_one_of_each_group(spark):
     docs = table(spark, corpus()).unionByName(table(spark, ["solo words here now please"]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(table(spark, corpus()).where("doc_id < 3"))
     docs = docs.withColumn("__kept", F.lit(1)).withColumn("component_id", F.lit("clash"))
