@@ -5,7 +5,7 @@ import random
 import pytest
 
 from stepweave import model
-from stepweave.operators import candidates, verify
+from stepweave.operators import candidates, forest, verify
 
 
 def definition(i, matcher, alpha, structural="S", scope=None, path="f.ts", kind="cucumber-expression"):
@@ -56,3 +56,28 @@ def test_pairs_checked_by_kind_are_those_checked_one_by_one(spark, seed, monkeyp
 def test_verification_of_a_large_class_drops_no_pair(large):
     found, _ = verify.checked(large, model.Config(), ("structural",))
     assert found.records().count() == 760 * 759 // 2
+
+
+def test_a_forest_of_all_pairs_needs_no_pairs(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice("uvw")) for i in range(40)]
+    extra = [tuple(sorted(r.sample(range(40), 2))) for _ in range(3)]
+    every = [(a, b) for a, k in rows for b, m in rows if k == m and a < b] + extra
+    few = forest.all_pairs_forest(spark.createDataFrame(rows, "def_id bigint, k string"), ["k"]).select("a", "b")
+    assert few.count() == 40 - 3
+    told = lambda df: sorted({(x.a, x.b) for x in forest.spanning_forest(df.withColumn("rule", df.a * 0), ["rule"]).collect()})
+    frame = spark.createDataFrame(every, "a bigint, b bigint")
+    assert told(few.union(spark.createDataFrame(extra, "a bigint, b bigint"))) == told(frame)
+
+
+def test_trees_are_kept_without_rounds(spark, monkeypatch):
+    cuts, cut = [], forest.durable
+    monkeypatch.setattr(forest, "durable", lambda df: cuts.append(1) or cut(df))
+    edges = [("x", k, k + 1) for k in range(50)] + [("y", 0, k) for k in range(1, 20)]
+    got = forest.spanning_forest(spark.createDataFrame(edges, "rule string, a bigint, b bigint"), ["rule"]).collect()
+    assert sorted(tuple(e) for e in got) == sorted(edges) and len(cuts) == 3
+
+
+def test_blocking_gathers_no_definitions_on_the_driver(spark, large):
+    plan = candidates.blocking_candidates(large)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
