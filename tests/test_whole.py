@@ -81,3 +81,16 @@ def test_trees_are_kept_without_rounds(spark, monkeypatch):
 def test_blocking_gathers_no_definitions_on_the_driver(spark, large):
     plan = candidates.blocking_candidates(large)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_equal_findings_are_one_row_until_they_are_read(spark):
+    from stepweave.plans import analyze
+
+    rows = [definition(0, "I have {int} cakes", "a"), definition(1, "I have 1 cakes", "b")]
+    steps = spark.createDataFrame([(k, "Given", "I have 1 cakes", ("a.feature", k, 1, k, 9)) for k in range(2500)], model.STEPS)
+    found = analyze.analyze(spark.createDataFrame(rows, model.DEFINITIONS), steps).findings
+    assert sorted(f.seq for f in found.collect()) == list(range(found.count()))
+    assert found.where("rule = 'ambiguous-step'").count() == 2500
+    prepared = analyze.matchers.with_expressions(table(spark, rows), {})
+    told = analyze.usage_findings(steps, prepared, model.Config(), None).where("rule = 'ambiguous-step'").collect()
+    assert [(f.members, f.copies) for f in told] == [([0, 1], 2500)]
