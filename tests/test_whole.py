@@ -94,3 +94,12 @@ def test_equal_findings_are_one_row_until_they_are_read(spark):
     prepared = analyze.matchers.with_expressions(table(spark, rows), {})
     told = analyze.usage_findings(steps, prepared, model.Config(), None).where("rule = 'ambiguous-step'").collect()
     assert [(f.members, f.copies) for f in told] == [([0, 1], 2500)]
+
+
+def test_the_first_pairs_are_not_gathered_on_the_driver(spark):
+    pairs = spark.createDataFrame([(k % 7, k) for k in range(7, 60)], "a bigint, b bigint")
+    every = sorted(tuple(p) for p in pairs.collect())
+    for k in (1, 10, 52, 53):
+        cut = candidates.first_of(pairs, k)
+        assert sorted(tuple(p) for p in cut.collect()) == every[:k]
+        assert "TakeOrdered" not in cut._jdf.queryExecution().executedPlan().toString()
